@@ -1,0 +1,93 @@
+"""Source trees as DataFrames: scanned files, and Python modules parsed to graph rows."""
+
+from __future__ import annotations
+
+import ast
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Languages by file extension.
+LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "java": "java", "rs": "rust", "cs": "csharp", "yaml": "yaml", "yml": "yaml", "json": "json", "toml": "toml", "md": "markdown"}
+
+
+def scan(spark: SparkSession, root: str, extensions: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
+    """path, language, size_bytes, hash, lines, source of the files under ``root`` in a known language."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+    files = files.withColumn("ext", ext).withColumn("language", F.try_element_at(table, "ext")).where("language is not null")
+    if extensions:
+        files = files.where(F.col("ext").isin(extensions))
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= max_bytes)
+    text = F.decode("content", "utf-8")
+    return files.select("path", "language", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("hash"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("lines"), text.alias("source"))
+
+
+_BRANCHES = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.With, ast.Assert, ast.comprehension, ast.IfExp, ast.BoolOp, ast.match_case)
+
+
+def parse_python(path: str, source: str) -> list[tuple]:
+    """(kind, id, name, parent, line_start, line_end, complexity, target) rows of a module; a syntax error is one row of kind error."""
+    module = f"mod:{path}"
+    try:
+        tree = ast.parse(source)
+    except SyntaxError as e:
+        return [("error", module, str(e), None, None, None, 0, None)]
+    rows = [("module", module, path.rsplit("/", 1)[-1].rsplit(".", 1)[0], None, 1, source.count("\n") + 1, 0, None)]
+
+    def function(node, owner, prefix):
+        own = f"fn:{path}:{prefix}{node.name}"
+        rows.append(("function", own, node.name, owner, node.lineno, node.end_lineno, 1 + sum(isinstance(x, _BRANCHES) for x in ast.walk(node)), None))
+        for x in ast.walk(node):
+            if isinstance(x, ast.Call):
+                name = ast.unparse(x.func)
+                rows.append(("call", own, name.split(".", 1)[1] if name.startswith(("self.", "cls.")) else name, None, x.lineno, x.end_lineno, 0, None))
+
+    for node in tree.body:
+        if isinstance(node, ast.Import):
+            rows += [("import", module, a.name, None, node.lineno, node.end_lineno, 0, a.name) for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            rows.append(("import", module, "." * node.level + (node.module or ""), None, node.lineno, node.end_lineno, 0, ",".join(a.name for a in node.names)))
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            function(node, module, "")
+        elif isinstance(node, ast.ClassDef):
+            own = f"cls:{path}:{node.name}"
+            rows.append(("class", own, node.name, module, node.lineno, node.end_lineno, 0, None))
+            rows += [("inherit", own, ast.unparse(b), None, node.lineno, node.lineno, 0, None) for b in node.bases]
+            for x in node.body:
+                if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                    function(x, own, f"{node.name}.")
+    return rows
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["kind", "id", "name", "parent", "line_start", "line_end", "complexity", "target"]
+    for part in batches:
+        yield pd.DataFrame([r for p, s in zip(part["path"], part["source"], strict=True) for r in parse_python(p, s or "")], columns=names)
+
+
+def python_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of Python files (path, source): contains, inherits, imports and calls, with external nodes for what isn't there.
+
+    Names are resolved by joins: a base by class name, an import by the path that its dots spell, a call by function name, each to
+    the largest id of that name.
+    """
+    rows = files.select("path", "source").mapInPandas(_parse, "kind string, id string, name string, parent string, line_start int, line_end int, complexity int, target string")
+    nodes = rows.where("kind in ('module', 'class', 'function')").select("id", F.col("kind").alias("type"), "name", F.regexp_extract("id", r"^[a-z]+:([^:]*)", 1).alias("file_path"), "line_start", "line_end", "complexity")
+    contains = rows.where("parent is not null").select(F.col("parent").alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("type"))
+    by_name = lambda kind: nodes.where(F.col("type") == kind).groupBy(F.col("name").alias("n")).agg(F.max("id").alias("to"))
+    bases = rows.where("kind = 'inherit'").join(by_name("class"), F.col("name") == F.col("n"), "left").select(F.col("id").alias("source_id"), F.coalesce("to", F.concat(F.lit("ext:"), "name")).alias("target_id"), F.lit("inherits").alias("type"))
+    calls = rows.where("kind = 'call'").join(by_name("function"), F.element_at(F.split("name", r"\."), -1) == F.col("n")).select(F.col("id").alias("source_id"), F.col("to").alias("target_id"), F.lit("calls").alias("type"))
+    imports = rows.where("kind = 'import'").withColumn("p", F.concat(F.replace(F.regexp_replace("name", r"^\.+", ""), F.lit("."), F.lit("/")), F.lit(".py")))
+    paths = nodes.where("type = 'module'").select(F.col("id").alias("to"), F.col("file_path"))
+    found = imports.join(paths, F.col("file_path").endswith(F.col("p")), "left").groupBy("id", "name").agg(F.max("to").alias("to"))
+    imported = found.select(F.col("id").alias("source_id"), F.coalesce("to", F.concat(F.lit("ext:"), F.split(F.regexp_replace("name", r"^\.+", ""), r"\.")[0])).alias("target_id"), F.lit("imports").alias("type"))
+    edges = contains.unionByName(bases).unionByName(imported).unionByName(calls).distinct()
+    missing = edges.where(F.col("target_id").startswith("ext:")).select(F.col("target_id").alias("id")).distinct()
+    null = lambda kind: F.lit(None).cast(kind)
+    external = missing.select("id", F.lit("external").alias("type"), F.substring("id", 5, 1000).alias("name"), null("string").alias("file_path"), null("int").alias("line_start"), null("int").alias("line_end"), F.lit(0).alias("complexity"))
+    return nodes.unionByName(external), edges
