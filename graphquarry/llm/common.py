@@ -40,6 +40,11 @@ def stored_files(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def vectorized(returns):
+    """A pandas UDF that is made when it is used: parsing its type needs a session, importing a module doesn't."""
+    return lambda f: lambda *columns: F.pandas_udf(f, returns)(*columns)
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

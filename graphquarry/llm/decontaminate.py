@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, prefix_hash, separators, span_hash, word_spans
+from .common import gram_hashes, prefix_hash, separators, span_hash, vectorized, word_spans
 from .spans import sha256
 
 #: Bytes between words: all of ASCII but digits and (lower-cased) letters.
@@ -121,14 +121,14 @@ def _covered(n: int, runs) -> np.ndarray:
     return hit
 
 
-@F.pandas_udf("struct<n_hit:bigint,n_items:bigint,items_sha256:string>")
+@vectorized("struct<n_hit:bigint,n_items:bigint,items_sha256:string>")
 def _summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         rows = [(int(_covered(n, r).sum()), len(i), sha256(",".join(sorted(i)))) for n, r, i in zip(part["n_words"], part["runs"], part["items"], strict=True)]
         yield pd.DataFrame(rows, columns=["n_hit", "n_items", "items_sha256"])
 
 
-@F.pandas_udf("binary")
+@vectorized("binary")
 def _cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
     """The texts without their hit words; what stands between two hit words goes with them."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, vectorized
 from .spans import joined, sha256
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "handle", "number")
@@ -112,7 +112,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int, bool, str, str]]:
     return out
 
 
-@F.pandas_udf(_FOUND)
+@vectorized(_FOUND)
 def _found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield pd.Series([candidates(x) for x in part])
@@ -163,7 +163,7 @@ def span_classifier(cells: list[tuple[str, float, float]], steps: int = 300) ->
     return {c: float(v) for (c, _, _), v in zip(cells, 1 / (1 + np.exp(-x @ theta)), strict=True)}
 
 
-@F.pandas_udf("struct<spans:string,base_sha256:string>")
+@vectorized("struct<spans:string,base_sha256:string>")
 def _digest(lists: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in lists:
         rows = []

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CODES, materialize
+from .common import SPACE_CODES, materialize, vectorized
 
 #: The rules in the order of a vote string: B bad, G good, - abstains.
 RULES = ("symbols", "upper", "exclaims", "repeats", "dup_lines", "variety", "word_length", "prose", "function_words")
@@ -74,7 +74,7 @@ def measure(raw: bytes | None) -> tuple:
     return n, chars, symbols, dup, repeats, "".join(votes)
 
 
-@F.pandas_udf(METRICS)
+@vectorized(METRICS)
 def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = [x.split(":")[0] for x in METRICS[7:-1].split(",")]
     for part in texts:

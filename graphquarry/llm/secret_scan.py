@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, vectorized
 from .spans import joined, sha256
 
 KINDS = ("assign", "access", "hex", "opaque")
@@ -47,13 +47,13 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, bool, str]]:
     return [(k, a, b, base, sha256(v)) for k, a, b, base, v in found]
 
 
-@F.pandas_udf(_FOUND)
+@vectorized(_FOUND)
 def _found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield pd.Series([find_secrets(x) for x in part])
 
 
-@F.pandas_udf("struct<spans:string,base_sha256:string>")
+@vectorized("struct<spans:string,base_sha256:string>")
 def _digest(lists: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in lists:
         rows = []

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, materialize, n_parts, prefix_hash, span_hash, union_all
+from .common import if_small, materialize, n_parts, prefix_hash, span_hash, union_all, vectorized
 from .ngram_join import MOST_FREQUENT, _short, count_tokens, shared_tokens
 from .spans import sha256
 
@@ -163,7 +163,7 @@ def repeated_windows(docs: DataFrame, batches: int = 2) -> DataFrame:
     return union_all([rows.where("route = 2").select("doc", "lo", "hi"), again, *found])
 
 
-@F.pandas_udf("struct<n_removed:bigint,n_spans:bigint,kept_sha256:string>")
+@vectorized("struct<n_removed:bigint,n_spans:bigint,kept_sha256:string>")
 def _cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     rows = []
     for raw, own in zip(texts, runs, strict=True):
