@@ -146,7 +146,7 @@ def _cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
     return pd.Series([cut(x, r) for x, r in zip(texts, runs, strict=True)])
 
 
-CONTAMINATED = F.expr("__s.n_hit > 0 and 20 * __s.n_hit >= __h.n_words")
+CONTAMINATED = "__s.n_hit > 0 and 20 * __s.n_hit >= __h.n_words"
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 8) -> DataFrame:
@@ -157,11 +157,11 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 8)
     are ignored. Empty tables give an empty or an all-clean result.
     """
     found = with_hits(docs.select("doc_id", "text"), items, "__h", span, k).drop("text").withColumn("__s", _summed("__h"))
-    return found.select("doc_id", "__h.n_words", "__s.n_hit", "__s.n_items", "__s.items_sha256", CONTAMINATED.alias("contaminated"), F.col("__h.items").alias("items"))
+    return found.select("doc_id", "__h.n_words", "__s.n_hit", "__s.n_items", "__s.items_sha256", F.expr(CONTAMINATED).alias("contaminated"), F.col("__h.items").alias("items"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 8) -> DataFrame:
     """``docs`` without contaminated rows; hit words of the others are cut from their texts. Columns stay; nulls stay."""
-    found = with_hits(docs, items, "__h", span, k).withColumn("__s", _summed("__h")).where(~CONTAMINATED)
+    found = with_hits(docs, items, "__h", span, k).withColumn("__s", _summed("__h")).where(~F.expr(CONTAMINATED))
     text = F.when(F.col("__s.n_hit") > 0, _cut(F.col("text").cast("binary"), F.col("__h.runs")).cast("string")).otherwise(F.col("text"))
     return found.withColumn("text", text).select(*docs.columns)

@@ -1,12 +1,13 @@
 """N-gram Jaccard join by grouped prefixes: sets with one size and prefix form a group, only groups are joined on prefix shingles,
 then group pairs are expanded to their members and verified on whole sets.
 
-Shingles are ordered by (document frequency where that is high, hash). Any one order makes prefix filtering exact; this one keeps
+Shingles are ordered by (code of document frequency, hash). Any one order makes prefix filtering exact; this one keeps
 boilerplate out of the prefixes, so lists of documents that share a prefix shingle stay short.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import components, gram_hashes, if_small, materialize, mix, words_hashed
 
-#: A shingle in as many documents counts as shared; so many shared shingles are broadcast (12 bytes each) at most.
-FREQUENT, MOST_FREQUENT = 2, 8_000_000
-#: Frequencies are counted on so many bits of a shingle's hash: enough to order by, as equal order keys fall back to the hash.
+#: The table of frequencies has 2**16 to 2**26 slots of a byte, so its broadcast is 64 MB at most.
+SLOTS = 16, 26
+#: Frequencies are counted on so many leading bits of a hash.
 _BITS = np.uint64(42)
 
 
@@ -41,14 +42,18 @@ def _short(tokens: np.ndarray) -> np.ndarray:
     return tokens >> np.uint64(64 - int(_BITS))
 
 
-def count_tokens(docs: DataFrame, tokens_of, least: int = FREQUENT) -> DataFrame:
-    """(token, df) of the hashes (their first 42 bits) that ``tokens_of`` gives ``least`` times or more over the texts of ``docs``.
+def frequency_table(docs: DataFrame, tokens_of) -> np.ndarray:
+    """A byte for each leading-bits slot of the hash space: 0 where no hash of ``tokens_of`` comes twice or more over the texts of
+    ``docs``, else the code of the highest count there (8 a doubling).
 
-    Each task counts its own distinct shingles and emits, for each bucket of the hash space, one row of packed arrays; a bucket
-    gets a row from each batch, so frequent shingles don't make it larger, and there are as many buckets as keep each small.
+    Counting is exact and covers every hash: each task counts its own and emits, for each bucket of the hash space, one row of packed
+    arrays, so a frequent hash makes no bucket larger, and there are as many buckets as keep each small. What is rounded is the table:
+    a slot that several hashes share tells of a hash more than its own count. Who uses it must be right with any table; a
+    corpus beyond its size only gets more work, not other results. The driver reads it a partition at a time.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(min(16, max(7, np.ceil(np.log2(size / 6 / 500_000 + 1)))))
+    width = int(min(SLOTS[1], max(SLOTS[0], np.ceil(np.log2(size / 12 + 1)))))
     low = int(_BITS) - bits
 
     def packed(tokens: list[np.ndarray]) -> pd.DataFrame:
@@ -68,7 +73,7 @@ def count_tokens(docs: DataFrame, tokens_of, least: int = FREQUENT) -> DataFrame
             for raw in part["text"]:
                 held.append(_short(tokens_of(raw)))
                 total += len(held[-1])
-                if total > 3_000_000:
+                if total > 1_000_000:
                     yield packed(held)
                     held, total = [], 0
         if total:
@@ -81,48 +86,38 @@ def count_tokens(docs: DataFrame, tokens_of, least: int = FREQUENT) -> DataFrame
             parts.append(sum((p << np.uint64(8 * j) for j, p in enumerate(planes)), np.zeros(n, np.uint64)))
             counts.append(np.frombuffer(c, np.uint32))
         token, at = np.unique(np.concatenate(parts), return_inverse=True)
-        df = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-        often = df >= least
-        return pd.DataFrame({"token": (token[often] | np.uint64(int(key[0]) << low)).astype(np.int64), "df": df[often]})
+        n = np.bincount(at, weights=np.concatenate(counts))
+        often = n >= 2
+        slots = np.zeros(1 << (width - bits), np.uint8)
+        np.maximum.at(slots, (token[often] >> np.uint64(low - (width - bits))).astype(np.int64), code_of(n[often]))
+        return pd.DataFrame({"bucket": [int(key[0])], "slots": [zlib.compress(slots.tobytes(), 1)]})
 
     rows = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(count, "bucket int, n int, tokens binary, counts binary")
-    return rows.groupBy("bucket").applyInPandas(merge, "token long, df long")
+    table = np.zeros(1 << width, np.uint8)
+    for r in materialize(rows.groupBy("bucket").applyInPandas(merge, "bucket int, slots binary"), "frequencies").toLocalIterator():
+        at = r["bucket"] << (width - bits)
+        table[at : at + (1 << (width - bits))] = np.frombuffer(zlib.decompress(r["slots"]), np.uint8)
+    return table
 
 
-def _frequent(docs: DataFrame, k: int, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Sorted shared tokens, their frequencies, and whether these are all. Where they are too many to broadcast, only the most
-    frequent are taken, down to the frequency where they fit: that changes the order of shingles and so the work, not the result."""
-    table = materialize(count_tokens(docs, lambda raw: shingles(raw, k)), "frequent")
-    return shared_tokens(table, most)
+def code_of(n) -> np.ndarray:
+    return np.minimum(255, 8 * np.log2(n)).astype(np.uint8)
 
 
-def shared_tokens(table: DataFrame, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray, bool]:
-    total, least = 0, FREQUENT
-    if table.count() > most:
-        for r in table.groupBy(F.floor(F.log2("df")).alias("p")).count().orderBy(F.desc("p")).collect():
-            total += r["count"]
-            least = 2 ** int(r["p"])
-            if total > most:
-                least *= 2
-                break
-    rows = table.where(F.col("df") >= least).toPandas().sort_values("token")
-    return rows["token"].to_numpy(np.uint64), rows["df"].to_numpy(np.uint32), least == FREQUENT
+def looked_up(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return table[(tokens >> np.uint64(64 - int(len(table)).bit_length() + 1)).astype(np.int64)]
 
 
 def _described(shared, percent: int, k: int):
     def describe(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, df, every = shared.value
+        table = shared.value
         for part in texts:
             out = []
             for raw in part:
                 own = shingles(raw, k)
-                n, order = len(own), np.zeros(len(own), np.int64)
-                if len(known) and n:
-                    short = _short(own)
-                    at = np.minimum(np.searchsorted(known, short), len(known) - 1)
-                    order = np.where(known[at] == short, df[at], 0)
+                n, order = len(own), looked_up(table, own)
                 # A shingle of no other document is in no intersection: a set with too many of them links with nothing.
-                alone = int((order == 0).sum()) if every else 0
+                alone = int((order == 0).sum())
                 linkable = 100 * (n - alone) >= percent * n
                 first = own[np.lexsort((own, order))[: _prefix_length(n, percent) if linkable else 0]].view(np.int64)
                 whole = mix(own + np.uint64(1))
@@ -170,7 +165,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, percent: int = 75, k: int = 5):
         self.docs, self.percent, self.k = docs.select("doc_id", "text"), percent, k
-        shared = docs.sparkSession.sparkContext.broadcast(_frequent(self.docs, k))
+        shared = docs.sparkSession.sparkContext.broadcast(frequency_table(self.docs, lambda raw: shingles(raw, k)))
         described = self.docs.select("doc_id", _described(shared, percent, k)(F.col("text").cast("binary")).alias("d")).select("doc_id", "d.*")
         self.rows = materialize(described.withColumn("pkey", F.xxhash64("n", "prefix")), "sets")
         classes = self.rows.where("n > 0").groupBy("cls", "n", "alone", "pkey").agg(F.min("doc_id").alias("doc"))

@@ -123,7 +123,7 @@ def quality_verdicts(metrics: DataFrame, votes: str = "votes", into: str = "p_go
     return metrics.join(F.broadcast(table), votes)
 
 
-BASE_FAILED = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
 def quality_report(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -134,7 +134,7 @@ def quality_report(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """
     flat = with_metrics(docs.select("doc_id", "text"), "m").select("doc_id", "m.*")
     scored = quality_verdicts(materialize(flat, "metrics"))
-    return scored.withColumn("base_failed", BASE_FAILED).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("p_good") >= least)).alias("kept"), "p_good", "votes")
+    return scored.withColumn("base_failed", F.expr(BASE_FAILED)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("p_good") >= least)).alias("kept"), "p_good", "votes")
 
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, materialize, n_parts, prefix_hash, span_hash, union_all, vectorized
-from .ngram_join import MOST_FREQUENT, _short, count_tokens, shared_tokens
+from .common import if_small, materialize, mix, n_parts, prefix_hash, span_hash, union_all, vectorized
+from .ngram_join import code_of, frequency_table, looked_up
 from .spans import sha256
 
 LENGTH, K = 100, 32
@@ -46,7 +46,8 @@ def samples(raw: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarra
         first = np.flatnonzero(np.diff(chosen, prepend=-1))
         last = np.append(first[1:], len(chosen)) - 1
         pos = chosen[first]
-        yield base, prefix, grams[pos], pos, first, last
+        # Smallest hashes crowd the low end of the hash space; mixed again they fill tables and buckets evenly.
+        yield base, prefix, mix(grams[pos]), pos, first, last
 
 
 def fingerprints(raw: bytes | None) -> np.ndarray:
@@ -68,19 +69,15 @@ def _extractor(shared):
     """Rows of a batch: route 0 a sampled suffix with its context, 1 a window of a hot suffix, 2 windows that repeat earlier ones."""
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, df, every = shared.value
+        table, hot = shared.value, int(code_of(HOT))
         for part in batches:
             out, seen, windows = [], set(), set()
             for doc, raw in sorted(zip(part["doc"], part["text"], strict=True), key=lambda x: x[0]):
                 for base, prefix, print_, pos, first, last in samples(raw or b""):
-                    often = np.zeros(len(print_), np.int64)
-                    if len(known):
-                        short = _short(print_)
-                        i = np.minimum(np.searchsorted(known, short), len(known) - 1)
-                        often = np.where(known[i] == short, df[i], 0)
-                    for j in np.flatnonzero(often) if every else range(len(print_)):
+                    often = looked_up(table, print_)
+                    for j in np.flatnonzero(often):
                         a, b, left = base + int(first[j]), base + int(last[j]), int(pos[j] - first[j])
-                        if often[j] > HOT:
+                        if often[j] > hot:
                             start = np.arange(first[j], last[j] + 1)
                             for p, h in zip(start, span_hash(prefix, start, start + LENGTH).view(np.int64), strict=True):
                                 out.append((2 if h in windows else 1, int(h), doc, base + int(p), base + int(p), 0, None))
@@ -146,9 +143,7 @@ def repeated_windows(docs: DataFrame, batches: int = 2) -> DataFrame:
     """(doc, lo, hi): runs of starts of LENGTH-byte windows that occur earlier, by (doc_id, start)."""
     spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("text").cast("binary").alias("text")).where(f"octet_length(text) >= {LENGTH}")
-    counted = materialize(count_tokens(own, fingerprints), "counted")
-    known = shared_tokens(counted, MOST_FREQUENT)
-    shared = spark.sparkContext.broadcast(known)
+    shared = spark.sparkContext.broadcast(frequency_table(own, fingerprints))
     rows = materialize(own.mapInPandas(_extractor(shared), _LEVEL), "suffixes")
     total = rows.where("route = 0").agg(F.count(F.lit(1)), F.min("doc"), F.max("doc")).first()
     index = SuffixIndex(max(n_parts(spark) * 4, total[0] // 2000 + 1))
