@@ -49,6 +49,12 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def if_short(df: DataFrame, lists: str, elements: int) -> DataFrame:
+    """As if_small(), by the number of elements in a column of lists and of rows, for rows that have no bounded width."""
+    total = df.agg(F.sum(F.size(lists) + F.lit(1))).first()[0] or 0
+    return F.broadcast(df) if total <= elements else df
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, materialize, mix, n_parts, prefix_hash, span_hash, union_all, vectorized
+from .common import if_short, materialize, mix, n_parts, prefix_hash, span_hash, union_all, vectorized
 from .ngram_join import code_of, frequency_table, looked_up
 from .spans import sha256
 
@@ -182,7 +182,7 @@ def repeated_bytes(docs: DataFrame, batches: int = 2) -> DataFrame:
     Rows that repeat a doc_id share its removed places. Other columns are ignored.
     """
     runs = repeated_windows(docs, batches).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    runs = if_small(materialize(runs, "runs"), 500_000)
+    runs = if_short(materialize(runs, "runs"), "runs", 300_000)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"))
     joined = rows.join(runs, "doc", "left").withColumn("c", _cut("text", "runs"))
     return joined.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "c.*")
