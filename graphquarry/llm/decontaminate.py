@@ -91,7 +91,8 @@ def _searcher(shared):
                 out.append((len(words), [x for r in runs for x in r], [index.ids[t] for t in sorted(found)]))
             yield pd.DataFrame(out, columns=["n_words", "runs", "items"])
 
-    return F.pandas_udf(search, _RESULT)
+    # A filter on a deterministic function is pushed below its projection, which computes it twice, in further Python workers.
+    return F.pandas_udf(search, _RESULT).asNondeterministic()
 
 
 def with_hits(docs: DataFrame, items: DataFrame, into: str, span: int = 13, k: int = 8, block_bytes: int = 16 << 20, text: str = "text") -> DataFrame:
@@ -128,22 +129,27 @@ def _summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["n_hit", "n_items", "items_sha256"])
 
 
-@vectorized("binary")
-def _cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
-    """The texts without their hit words; what stands between two hit words goes with them."""
+def _without(raw: bytes, n: int, runs) -> bytes:
+    """A text without its hit words; what stands between two hit words goes with them."""
+    start, end, _ = spans_hashed(raw)
+    hit = _covered(n, runs)
+    keep = np.ones(len(raw), bool)
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+        keep[start[a] : end[b - 1]] = False
+    return np.frombuffer(raw, np.uint8)[keep].tobytes()
 
-    def cut(raw, own):
-        if not len(own):
-            return raw
-        start, end, _ = spans_hashed(raw)
-        hit = _covered(len(start), own)
-        keep = np.ones(len(raw), bool)
-        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-            keep[start[a] : end[b - 1]] = False
-        return np.frombuffer(raw, np.uint8)[keep].tobytes()
 
-    return pd.Series([cut(x, r) for x, r in zip(texts, runs, strict=True)])
+def _cleaner():
+    def clean(texts: pd.Series, hits: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for raw, n, runs in zip(texts, hits["n_words"], hits["runs"], strict=True):
+            hit = int(_covered(n, runs).sum())
+            gone = hit > 0 and 20 * hit >= n
+            rows.append((gone, _without(raw, n, runs) if hit and not gone else None))
+        return pd.DataFrame(rows, columns=["gone", "cut"])
+
+    return F.pandas_udf(clean, "struct<gone:boolean,cut:binary>").asNondeterministic()
 
 
 CONTAMINATED = "__s.n_hit > 0 and 20 * __s.n_hit >= __h.n_words"
@@ -162,6 +168,5 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 8)
 
 def without_leaks(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 8) -> DataFrame:
     """``docs`` without contaminated rows; hit words of the others are cut from their texts. Columns stay; nulls stay."""
-    found = with_hits(docs, items, "__h", span, k).withColumn("__s", _summed("__h")).where(~F.expr(CONTAMINATED))
-    text = F.when(F.col("__s.n_hit") > 0, _cut(F.col("text").cast("binary"), F.col("__h.runs")).cast("string")).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    found = with_hits(docs, items, "__h", span, k).withColumn("__c", _cleaner()(F.col("text").cast("binary"), "__h")).where("not __c.gone")
+    return found.withColumn("text", F.coalesce(F.col("__c.cut").cast("string"), F.col("text"))).select(*docs.columns)
