@@ -24,9 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
+#: Rows that go to Python at a time: ten thousand texts, Spark's own number, take many MB in the JVM and again in Python.
+ROWS_A_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends ROWS_A_BATCH rows at a time to Python, or fewer where it is set so."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_A_BATCH:
+        spark.conf.set(key, str(ROWS_A_BATCH))
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

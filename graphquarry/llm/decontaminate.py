@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, prefix_hash, separators, span_hash, vectorized, word_spans
+from .common import gram_hashes, prefix_hash, separators, small_batches, span_hash, vectorized, word_spans
 from .spans import sha256
 
 #: Bytes between words: all of ASCII but digits and (lower-cased) letters.
@@ -102,6 +102,7 @@ def with_hits(docs: DataFrame, items: DataFrame, into: str, span: int = 13, k: i
     and broadcasts at a time, and each block meets every document. Documents are never shuffled.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null")
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))

@@ -42,7 +42,7 @@ def _short(tokens: np.ndarray) -> np.ndarray:
     return tokens >> np.uint64(64 - int(_BITS))
 
 
-def frequency_table(docs: DataFrame, tokens_of) -> np.ndarray:
+def frequency_table(docs: DataFrame, tokens_of) -> bytes:
     """A byte for each leading-bits slot of the hash space: 0 where no hash of ``tokens_of`` comes twice or more over the texts of
     ``docs``, else the code of the highest count there (8 a doubling).
 
@@ -97,14 +97,15 @@ def frequency_table(docs: DataFrame, tokens_of) -> np.ndarray:
     for r in materialize(rows.groupBy("bucket").applyInPandas(merge, "bucket int, slots binary"), "frequencies").toLocalIterator():
         at = r["bucket"] << (width - bits)
         table[at : at + (1 << (width - bits))] = np.frombuffer(zlib.decompress(r["slots"]), np.uint8)
-    return table
+    return table.tobytes()  # an array would be copied once more when a worker reads it
 
 
 def code_of(n) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(n)).astype(np.uint8)
 
 
-def looked_up(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+def looked_up(raw: bytes, tokens: np.ndarray) -> np.ndarray:
+    table = np.frombuffer(raw, np.uint8)
     return table[(tokens >> np.uint64(64 - int(len(table)).bit_length() + 1)).astype(np.int64)]
 
 
