@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import components, gram_hashes, if_small, materialize, mix, words_hashed
 
-#: The table of frequencies has 2**16 to 2**26 slots of a byte, so its broadcast is 64 MB at most.
-SLOTS = 16, 26
+#: The table of frequencies has 2**16 to 2**25 slots of a byte, so its broadcast is 32 MB at most. Each Python worker holds a copy.
+SLOTS = 16, 25
 #: Frequencies are counted on so many leading bits of a hash.
 _BITS = np.uint64(42)
 
