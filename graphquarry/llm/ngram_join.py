@@ -169,6 +169,7 @@ class Join:
         shared = docs.sparkSession.sparkContext.broadcast(frequency_table(self.docs, lambda raw: shingles(raw, k)))
         described = self.docs.select("doc_id", _described(shared, percent, k)(F.col("text").cast("binary")).alias("d")).select("doc_id", "d.*")
         self.rows = materialize(described.withColumn("pkey", F.xxhash64("n", "prefix")), "sets")
+        shared.destroy()  # the sets are stored; workers and executors would hold the table until the driver collects its garbage
         classes = self.rows.where("n > 0").groupBy("cls", "n", "alone", "pkey").agg(F.min("doc_id").alias("doc"))
         groups = classes.where(f"100 * (n - alone) >= {percent} * n").groupBy("n", "pkey").agg(F.min("cls").alias("gid"))
         self.classes = materialize(classes.join(groups, ["n", "pkey"], "left").select("cls", "n", "alone", "doc", "gid"), "classes")

@@ -145,6 +145,7 @@ def repeated_windows(docs: DataFrame, batches: int = 2) -> DataFrame:
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("text").cast("binary").alias("text")).where(f"octet_length(text) >= {LENGTH}")
     shared = spark.sparkContext.broadcast(frequency_table(own, fingerprints))
     rows = materialize(own.mapInPandas(_extractor(shared), _LEVEL), "suffixes")
+    shared.destroy()  # the suffixes are stored
     total = rows.where("route = 0").agg(F.count(F.lit(1)), F.min("doc"), F.max("doc")).first()
     index = SuffixIndex(max(n_parts(spark) * 4, total[0] // 2000 + 1))
     found, low, high = [], total[1] or 0, total[2] or 0
