@@ -5,10 +5,12 @@ Texts cross into Python as UTF-8 bytes (``cast('binary')``), so white space and
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,13 @@ def if_short(df: DataFrame, lists: str, elements: int) -> DataFrame:
     return F.broadcast(df) if total <= elements else df
 
 
+def trim() -> None:
+    """Give back the memory that a Python worker has freed; Spark keeps workers, and each would hold on to its largest batch."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, prefix_hash, separators, small_batches, span_hash, vectorized, word_spans
+from .common import gram_hashes, prefix_hash, separators, small_batches, span_hash, trim, vectorized, word_spans
 from .spans import sha256
 
 #: Bytes between words: all of ASCII but digits and (lower-cased) letters.
@@ -90,6 +90,8 @@ def _searcher(shared):
                 runs, found = index.hits(words)
                 out.append((len(words), [x for r in runs for x in r], [index.ids[t] for t in sorted(found)]))
             yield pd.DataFrame(out, columns=["n_words", "runs", "items"])
+            del out
+            trim()
 
     # A filter on a deterministic function is pushed below its projection, which computes it twice, in further Python workers.
     return F.pandas_udf(search, _RESULT).asNondeterministic()

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, gram_hashes, if_small, materialize, mix, words_hashed
+from .common import components, gram_hashes, if_small, materialize, mix, trim, words_hashed
 
 #: The table of frequencies has 2**16 to 2**25 slots of a byte, so its broadcast is 32 MB at most. Each Python worker holds a copy.
 SLOTS = 16, 25
@@ -76,6 +76,7 @@ def frequency_table(docs: DataFrame, tokens_of) -> bytes:
                 if total > 1_000_000:
                     yield packed(held)
                     held, total = [], 0
+            trim()
         if total:
             yield packed(held)
 
@@ -125,6 +126,8 @@ def _described(shared, percent: int, k: int):
                 cls = int(mix(np.array([whole.sum() ^ np.uint64(n)], np.uint64)).view(np.int64)[0]) if n else 0
                 out.append((n, alone, cls, first))
             yield pd.DataFrame(out, columns=["n", "alone", "cls", "prefix"])
+            del out
+            trim()
 
     return F.pandas_udf(describe, "struct<n:bigint,alone:bigint,cls:bigint,prefix:array<bigint>>")
 
@@ -138,6 +141,8 @@ def _setter(k: int):
                 whole = mix(own + np.uint64(1))
                 out.append((int(mix(np.array([whole.sum() ^ np.uint64(len(own))], np.uint64)).view(np.int64)[0]) if len(own) else 0, own.tobytes()))
             yield pd.DataFrame(out, columns=["cls", "own"])
+            del out
+            trim()
 
     return F.pandas_udf(sets, "struct<cls:bigint,own:binary>")
 

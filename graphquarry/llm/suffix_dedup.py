@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_short, materialize, mix, n_parts, prefix_hash, span_hash, union_all, vectorized
+from .common import if_short, materialize, mix, n_parts, prefix_hash, span_hash, trim, union_all, vectorized
 from .ngram_join import code_of, frequency_table, looked_up
 from .spans import sha256
 
@@ -89,10 +89,12 @@ def _extractor(shared):
                         else:
                             seen.add((left, context))
                             out.append((0, int(print_[j].view(np.int64)), doc, a, b, left, context))
-                if len(out) > 20_000:
+                if len(out) > 5_000:
                     yield pd.DataFrame(out, columns=[c.split()[0] for c in _LEVEL.split(", ")])
                     out = []
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _LEVEL.split(", ")])
+            del out, seen, windows
+            trim()
 
     return extract
 
