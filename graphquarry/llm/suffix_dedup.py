@@ -25,7 +25,7 @@ LENGTH, K = 100, 32
 HOT = 20_000
 #: Windows are searched in pieces of this many bytes, which bounds memory for very long texts.
 PIECE = 1 << 22
-_LEVEL = "route int, key bigint, doc bigint, lo bigint, hi bigint, left int, context binary"
+_LEVEL = "route int, key bigint, doc bigint, sig bigint, lo bigint, hi bigint, left int, context binary"
 
 
 def samples(raw: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -55,14 +55,14 @@ def fingerprints(raw: bytes | None) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first window, last window) of runs of consecutive windows."""
+def _runs(doc: np.ndarray, sig: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, sig, first window, last window) of runs of consecutive windows."""
     if not len(doc):
-        return doc, at, at
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)]))
-    return doc[new], at[new], at[np.append(new[1:], len(at)) - 1]
+        return doc, sig, at, at
+    order = np.lexsort((at, sig, doc))
+    doc, sig, at = doc[order], sig[order], at[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1]) | (at[1:] > at[:-1] + 1)]))
+    return doc[new], sig[new], at[new], at[np.append(new[1:], len(at)) - 1]
 
 
 def _extractor(shared):
@@ -71,8 +71,9 @@ def _extractor(shared):
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, hot = shared.value, int(code_of(HOT))
         for part in batches:
-            out, seen, windows = [], set(), set()
-            for doc, raw in sorted(zip(part["doc"], part["text"], strict=True), key=lambda x: x[0]):
+            # Where each context and window of the batch came first: a row that repeats doc_id and text meets its own place there.
+            out, seen, windows = [], {}, {}
+            for doc, sig, raw in sorted(zip(part["doc"], part["sig"], part["text"], strict=True), key=lambda x: x[:2]):
                 for base, prefix, print_, pos, first, last in samples(raw or b""):
                     often = looked_up(table, print_)
                     for j in np.flatnonzero(often):
@@ -80,15 +81,18 @@ def _extractor(shared):
                         if often[j] > hot:
                             start = np.arange(first[j], last[j] + 1)
                             for p, h in zip(start, span_hash(prefix, start, start + LENGTH).view(np.int64), strict=True):
-                                out.append((2 if h in windows else 1, int(h), doc, base + int(p), base + int(p), 0, None))
-                                windows.add(h)
+                                place = (doc, sig, base + int(p))
+                                before = windows.setdefault(int(h), place)
+                                if before is place or before != place:
+                                    out.append((1 if before is place else 2, int(h), *place, place[2], 0, None))
                             continue
                         context = raw[a : b + LENGTH]
-                        if (left, context) in seen:
-                            out.append((2, 0, doc, a, b, 0, None))
-                        else:
-                            seen.add((left, context))
-                            out.append((0, int(print_[j].view(np.int64)), doc, a, b, left, context))
+                        place = (doc, sig, a)
+                        before = seen.setdefault((left, context), place)
+                        if before is place:
+                            out.append((0, int(print_[j].view(np.int64)), *place, b, left, context))
+                        elif before != place:
+                            out.append((2, 0, *place, b, 0, None))
                 if len(out) > 5_000:
                     yield pd.DataFrame(out, columns=[c.split()[0] for c in _LEVEL.split(", ")])
                     out = []
@@ -109,18 +113,19 @@ def _scan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     start = np.repeat(np.cumsum(size) - size, count) + inner
     hashed = span_hash(prefix_hash(np.frombuffer(text, np.uint8)), start, start + LENGTH)
-    doc, at = group["doc"].to_numpy(np.int64)[row], group["lo"].to_numpy(np.int64)[row] + inner
-    order = np.lexsort((at, doc, hashed))
+    doc, sig, at = group["doc"].to_numpy(np.int64)[row], group["sig"].to_numpy(np.int64)[row], group["lo"].to_numpy(np.int64)[row] + inner
+    order = np.lexsort((at, sig, doc, hashed))
     h = hashed[order]
     head = np.concatenate([[True], h[1:] != h[:-1]])
     lead = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
-    later = ((doc[order] != doc[order][lead]) | (at[order] != at[order][lead])) & group["fresh"].to_numpy(bool)[row][order]
-    d, a, b = _runs(doc[order][later], at[order][later])
-    return pd.DataFrame({"doc": d, "lo": a, "hi": b})
+    doc, sig, at = doc[order], sig[order], at[order]
+    later = ((doc != doc[lead]) | (sig != sig[lead]) | (at != at[lead])) & group["fresh"].to_numpy(bool)[row][order]
+    d, s, a, b = _runs(doc[later], sig[later], at[later])
+    return pd.DataFrame({"doc": d, "sig": s, "lo": a, "hi": b})
 
 
 class SuffixIndex:
-    """Levels of sampled suffixes. add() takes batches in the order of doc_id and returns their repeated windows (doc, lo, hi)."""
+    """Levels of sampled suffixes. add() takes batches in the order of doc_id and returns their repeated windows (doc, sig, lo, hi)."""
 
     def __init__(self, buckets: int):
         self.buckets, self.levels = buckets, []
@@ -128,23 +133,29 @@ class SuffixIndex:
     def add(self, batch: DataFrame, keep: bool = True) -> DataFrame:
         """``batch``: stored rows of route 0. The scan reads every level; keep=False leaves the batch out of the index."""
         bucket = F.pmod("key", F.lit(self.buckets)).alias("bucket")
-        rows = lambda df, fresh: df.select(bucket, "key", "doc", "lo", "context", F.lit(fresh).alias("fresh"))
+        rows = lambda df, fresh: df.select(bucket, "key", "doc", "sig", "lo", "context", F.lit(fresh).alias("fresh"))
         every = union_all([rows(batch, True), *[rows(x, False) for _, x in self.levels]])
-        found = materialize(every.groupBy("bucket").applyInPandas(_scan, "doc long, lo long, hi long"), "repeats")
+        found = materialize(every.groupBy("bucket").applyInPandas(_scan, "doc long, sig long, lo long, hi long"), "repeats")
         if keep:
             self.levels.append((1, batch))
             while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
                 (n, a), (_, b) = self.levels.pop(), self.levels.pop()
                 # Of equal contexts only the earliest can matter to later batches.
-                both = a.unionByName(b).groupBy("key", "left", "context").agg(F.min(F.struct("doc", "lo", "hi")).alias("first"), F.first("route").alias("route"))
+                both = a.unionByName(b).groupBy("key", "left", "context").agg(F.min(F.struct("doc", "sig", "lo", "hi")).alias("first"), F.first("route").alias("route"))
                 self.levels.append((2 * n, materialize(both.select("route", "key", "first.*", "left", "context"), "level")))
         return found
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text as bytes, doc (doc_id, null as the smallest number) and sig (a hash of the text): doc and sig name a document."""
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"))
+    return rows.withColumn("sig", F.xxhash64("text"))
+
+
 def repeated_windows(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """(doc, lo, hi): runs of starts of LENGTH-byte windows that occur earlier, by (doc_id, start)."""
+    """(doc, sig, lo, hi): runs of starts of LENGTH-byte windows that occur earlier, by (doc_id, hash of the text, start)."""
     spark = docs.sparkSession
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("text").cast("binary").alias("text")).where(f"octet_length(text) >= {LENGTH}")
+    own = _named(docs).select("doc", "sig", "text").where(f"octet_length(text) >= {LENGTH}")
     shared = spark.sparkContext.broadcast(frequency_table(own, fingerprints))
     rows = materialize(own.mapInPandas(_extractor(shared), _LEVEL), "suffixes")
     shared.destroy()  # the suffixes are stored
@@ -155,10 +166,10 @@ def repeated_windows(docs: DataFrame, batches: int = 2) -> DataFrame:
     for b in range(batches if total[0] else 0):
         inside = (F.col("route") == 0) & (F.col("doc") >= edges[b]) & (F.col("doc") < edges[b + 1])
         found.append(index.add(rows.where(inside), keep=b < batches - 1))
-    hot = rows.where("route = 1").select("key", "doc", "lo")
-    first = hot.groupBy("key").agg(F.min(F.struct("doc", "lo")).alias("first"))
-    again = hot.join(first, "key").where("not (doc = first.doc and lo = first.lo)").select("doc", "lo", F.col("lo").alias("hi"))
-    return union_all([rows.where("route = 2").select("doc", "lo", "hi"), again, *found])
+    hot = rows.where("route = 1").select("key", "doc", "sig", "lo")
+    first = hot.groupBy("key").agg(F.min(F.struct("doc", "sig", "lo")).alias("first"))
+    again = hot.join(first, "key").where("not (doc = first.doc and sig = first.sig and lo = first.lo)").select("doc", "sig", "lo", F.col("lo").alias("hi"))
+    return union_all([rows.where("route = 2").select("doc", "sig", "lo", "hi"), again, *found])
 
 
 @vectorized("struct<n_removed:bigint,n_spans:bigint,kept_sha256:string>")
@@ -182,10 +193,10 @@ def repeated_bytes(docs: DataFrame, batches: int = 2) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are their UTF-8 bytes, null is empty; texts of fewer than LENGTH bytes keep all. A null doc_id comes before all others.
-    Rows that repeat a doc_id share its removed places. Other columns are ignored.
+    Rows that repeat doc_id and text are one document, all cut alike; rows of one doc_id (or none) with different texts are
+    documents of their own, in the order of the texts' hashes. Other columns are ignored.
     """
-    runs = repeated_windows(docs, batches).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    runs = repeated_windows(docs, batches).groupBy("doc", "sig").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     runs = if_short(materialize(runs, "runs"), "runs", 300_000)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"))
-    joined = rows.join(runs, "doc", "left").withColumn("c", _cut("text", "runs"))
+    joined = _named(docs).join(runs, ["doc", "sig"], "left").withColumn("c", _cut("text", "runs"))
     return joined.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "c.*")

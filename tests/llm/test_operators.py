@@ -84,6 +84,24 @@ def test_suffixes(docs, texts):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got} == want
 
 
+@pytest.mark.parametrize(("parts", "hot"), [(1, 20_000), (4, 20_000), (1, 1), (4, 1)])
+def test_suffixes_of_null_and_repeated_rows(spark, texts, monkeypatch, parts, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = [*texts, (None, "x" + texts[4][1]), (None, texts[5][1]), (None, texts[4][1]), (6, texts[7][1]), (6, texts[8][1][5:]), (30, texts[9][1])]
+    named = table(spark, rows).selectExpr("doc_id", "text", "xxhash64(cast(text as binary)) as sig").coalesce(parts).collect()
+    seen, want = set(), {}
+    for key, raw in sorted({((-1 if r["doc_id"] is None else r["doc_id"], r["sig"]), (r["text"] or "").encode()) for r in named}):
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 99):
+            if (s := raw[p : p + 100]) in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(s)
+        want[key] = (len(raw), sum(gone), hashlib.sha256(bytes(b for b, g in zip(raw, gone, strict=True) if not g)).hexdigest())
+    want = sorted((str(r["doc_id"]), *want[-1 if r["doc_id"] is None else r["doc_id"], r["sig"]]) for r in named)
+    found = suffix_dedup.repeated_bytes(table(spark, rows).repartition(parts) if parts > 1 else table(spark, rows).coalesce(1), batches=3).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in found) == want
+
+
 def test_contamination(spark, docs, texts):
     items = spark.createDataFrame([(1, " ".join(texts[5][1].split()[10:40])), (2, "ONE, two"), (3, None), (4, "?!"), (5, "absent " * 20)], "item_id long, text string")
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
