@@ -23,7 +23,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates stays; documents without words all stay."""
+    """One row of each group of near duplicates stays; rows without words all stay."""
     return ngram_join.one_of_each(docs)
 
 
@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_rules), ("line_dedup", line_deduplication), ("ngram_jaccard", ngram_jaccard), ("decontamination", decontamination), ("mixing", mix)]
 
-#: EM and fuzzy groups can't be said in SQL; the stages are tested against brute force instead.
+#: EM and fuzzy groups can't be said in SQL; tests/llm/test_pipeline.py holds ngram_jaccard and run() against brute force on null and repeated ids.
 ORACLE_SQL = None
 
 

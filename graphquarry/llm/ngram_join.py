@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, gram_hashes, if_small, materialize, mix, trim, words_hashed
@@ -164,7 +164,7 @@ def _linked(percent: int):
 class Join:
     """The join of a table (doc_id, text) with itself at ``percent`` Jaccard similarity of word ``k``-shingles.
 
-    rows     doc_id, n, alone, cls: one row per row of the table; cls is a 64-bit hash of the whole set, so equal sets are one class
+    rows     doc_id, sig (a hash of the text), n, alone, cls: one row per row of the table; cls is a 64-bit hash of the whole set, so equal sets are one class
     classes  cls, n, alone, doc (smallest doc_id), gid (the group of its size and prefix: the smallest class in it)
     links()  verified pairs (a, b) of classes that connect all that any linked pairs connect
     """
@@ -172,7 +172,7 @@ class Join:
     def __init__(self, docs: DataFrame, percent: int = 75, k: int = 5):
         self.docs, self.percent, self.k = docs.select("doc_id", "text"), percent, k
         shared = docs.sparkSession.sparkContext.broadcast(frequency_table(self.docs, lambda raw: shingles(raw, k)))
-        described = self.docs.select("doc_id", _described(shared, percent, k)(F.col("text").cast("binary")).alias("d")).select("doc_id", "d.*")
+        described = self.docs.select("doc_id", F.xxhash64("text").alias("sig"), _described(shared, percent, k)(F.col("text").cast("binary")).alias("d")).select("doc_id", "sig", "d.*")
         self.rows = materialize(described.withColumn("pkey", F.xxhash64("n", "prefix")), "sets")
         shared.destroy()  # the sets are stored; workers and executors would hold the table until the driver collects its garbage
         classes = self.rows.where("n > 0").groupBy("cls", "n", "alone", "pkey").agg(F.min("doc_id").alias("doc"))
@@ -251,6 +251,24 @@ def linked_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFra
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component (smallest doc_id), all columns kept; rows without words all stay."""
-    parts = materialize(linked_components(docs, percent, k).where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(if_small(parts, 1_000_000), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of ``docs`` for each component, all columns kept; rows without words all stay.
+
+    It is the row of the smallest doc_id, null last; of rows with that doc_id the one whose text has the smallest hash, and of rows
+    that repeat both the one whose other columns have.
+    """
+    join = Join(docs, percent, k)
+    label = components(join.links(), "a", "b").withColumnsRenamed({"node": "cls"})
+    own = join.rows.where("n > 0").groupBy("cls", "doc_id", "sig").agg(F.count(F.lit(1)).alias("times"))
+    named = materialize(own.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "named")
+    low = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sig")).alias("low"))
+    first = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("sig") == F.col("low.sig"))
+    marked = named.join(low, "component").select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), first.alias("__first"), "times").where("not __first or times > 1")
+    marked = materialize(marked, "marked")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__sig"))
+    kept = docs.join(if_small(marked, 1_000_000), same, "left_anti")
+    twice = marked.where("__first")
+    if twice.isEmpty():
+        return kept
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
+    again = docs.join(if_small(twice, 1_000_000), same, "left_semi").withColumn("__at", F.row_number().over(order)).where("__at = 1")
+    return kept.unionByName(again.select(*docs.columns))
