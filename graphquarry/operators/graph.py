@@ -71,7 +71,7 @@ def deps(edges: DataFrame, seeds: DataFrame, reverse: bool = False, depth: int =
     return found.where("depth > 0")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, types=None, most: int = 64) -> list[str] | None:
+def shortest_path(edges: DataFrame, source: str, target: str, types=None, most: int | None = None) -> list[str] | None:
     """Node ids of a shortest path: along the edges, else against them, else in either direction; ties by smallest predecessor."""
     if source == target:
         return [source]

@@ -28,15 +28,30 @@ def impact_level(count):
     return F.when(count <= 5, "low").when(count <= 15, "medium").when(count <= 50, "high").otherwise("extreme")
 
 
-def patterns(nodes: DataFrame) -> DataFrame:
-    """pattern, hits, confidence: all detectors in one aggregation."""
+def patterns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """pattern, hits, confidence (0 below a detector's threshold): one aggregation of the nodes, one of the imports edges."""
     fn, cls, mod = (F.col("type") == k for k in ("function", "class", "module"))
     low = F.lower("name")
+
+    def like(column: str, *forms: str):
+        found = F.lit(False)
+        for form in forms:
+            found = found | F.col(column).like(form)
+        return found
+
     one = nodes.agg(
         F.count_if(fn).alias("fns"), F.count_if(cls).alias("classes"), F.count_if(mod).alias("modules"),
         F.count_if(fn & F.col("name").contains("_") & (low == F.col("name"))).alias("snake"), F.count_if(cls & F.col("name").rlike("^[A-Z]")).alias("pascal"),
         F.count_if(cls & F.col("name").endswith("Service")).alias("service"), F.count_if(low.contains("test") & fn).alias("tests"), F.count_if(low.contains("log") & fn).alias("logs"),
-    )
+        F.count_if(cls & like("name", "%Repository", "%Repo")).alias("repository"), F.count_if((cls | fn) & like("name", "%Factory%")).alias("factory"), F.count_if((cls | fn) & like("name", "%Handler%")).alias("handler"),
+        F.countDistinct(F.when(like("file_path", "%test%", "%spec%"), F.col("file_path"))).alias("test_files"), F.count_if(cls & like("name", "%Error", "%Exception")).alias("errors"),
+        F.count_if(fn & like("name", "get_%", "post_%", "put_%", "delete_%", "create_%", "update_%")).alias("rest"), F.count_if(fn & like("name", "%_route", "%_endpoint", "%_view")).alias("routes"),
+        F.count_if(fn & like("name", "async_%", "%_async")).alias("asyncs"),
+    ).crossJoin(edges.agg(F.count_if(F.col("type") == "imports").alias("imports")))
+    average = F.col("imports") / F.greatest("modules", F.lit(1))
+    some = (F.col("modules") > 0) & (F.col("imports") > 0)
+    # Name, count, least count, confidence.
+    fixed = (("repository", "repository", 1, 0.9), ("factory", "factory", 1, 0.85), ("handler", "handler", 2, 0.8), ("test_files", "test_files", 1, 0.9), ("custom_exceptions", "errors", 2, 0.9), ("rest_naming", "rest", 3, 0.85), ("route_handlers", "routes", 2, 0.9), ("async_naming", "asyncs", 2, 0.8))
     rows = F.array(
         F.struct(F.lit("snake_case_functions").alias("pattern"), F.col("snake").alias("hits"), F.round(F.col("snake") / F.greatest("fns", F.lit(1)), 6).alias("confidence")),
         F.struct(F.lit("pascal_case_classes").alias("pattern"), F.col("pascal").alias("hits"), F.round(F.col("pascal") / F.greatest("classes", F.lit(1)), 6).alias("confidence")),
@@ -44,6 +59,9 @@ def patterns(nodes: DataFrame) -> DataFrame:
         F.struct(F.lit("modular").alias("pattern"), F.col("modules").alias("hits"), F.when(F.col("modules") >= 5, F.round(F.least(F.col("modules") / 20, F.lit(1.0)), 6)).otherwise(0.0).alias("confidence")),
         F.struct(F.lit("test_functions").alias("pattern"), F.col("tests").alias("hits"), F.when(F.col("tests") >= 3, 0.95).otherwise(0.0).alias("confidence")),
         F.struct(F.lit("logging").alias("pattern"), F.col("logs").alias("hits"), F.when(F.col("logs") >= 1, 0.85).otherwise(0.0).alias("confidence")),
+        *[F.struct(F.lit(name).alias("pattern"), F.col(n).alias("hits"), F.when(F.col(n) >= least, sure).otherwise(0.0).alias("confidence")) for name, n, least, sure in fixed],
+        F.struct(F.lit("minimal_imports").alias("pattern"), F.col("imports").alias("hits"), F.when(some & (average < 5), F.round(1 - average / 10, 6)).otherwise(0.0).alias("confidence")),
+        F.struct(F.lit("heavy_imports").alias("pattern"), F.col("imports").alias("hits"), F.when(some & (average > 15), F.round(F.least(average / 30, F.lit(1.0)), 6)).otherwise(0.0).alias("confidence")),
     )
     return one.select(F.inline(rows))
 

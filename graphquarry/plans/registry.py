@@ -157,7 +157,7 @@ def keyword_rank(spark, sf_dir):
 
 @named()
 def detected_patterns(spark, sf_dir):
-    return rules.patterns(_graph(spark, sf_dir)[0])
+    return rules.patterns(*_graph(spark, sf_dir))
 
 
 @named(f"{_WITH}, d as (select id, count(*) as degree from (select source_id as id from edges union all select target_id from edges) q group by id) select id, round(least(complexity / 10.0, 5.0) + least(coalesce(degree, 0) / 5.0, 5.0) + case type when 'class' then 2.0 when 'module' then 1.0 when 'function' then 0.5 else 0.0 end, 6) as score from nodes left join d using (id)")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphquarry.functions import text
-from graphquarry.operators import diff, export, graph, search, storage
+from graphquarry.operators import diff, export, graph, rules, search, storage
 from graphquarry.plans import terse
 from graphquarry.sources import code
 
@@ -82,3 +82,22 @@ def test_python_graph(spark):
 def test_diff(spark):
     a, b = (spark.createDataFrame(x, "k string, v int") for x in ([("x", 1), ("y", 1)], [("x", 2), ("z", 1)]))
     assert {(r["k"], r["change"], r["breaking"]) for r in diff.entity_diff(a, b, ["k"], "v").collect()} == {("x", "modified", False), ("y", "removed", True), ("z", "added", False)}
+
+
+def test_patterns(spark):
+    names = [("class", n) for n in ("UserRepository", "OrderRepo", "AFactory", "OneError", "TwoException")] + [("function", n) for n in ("makeHandler", "onHandler", "get_a", "put_b", "update_c", "a_route", "b_view", "async_x", "y_async")]
+    rows = [(k, n, "src/test_a.py" if k == "class" else "src/a.py") for k, n in names] + [("module", "m", "spec/m.py"), ("external", "os", None)]
+    nodes = spark.createDataFrame(rows, "type string, name string, file_path string")
+    found = lambda n: {r["pattern"]: (r["hits"], r["confidence"]) for r in rules.patterns(nodes, spark.range(n).selectExpr("'imports' as type")).collect()}
+    want = {"repository": (2, 0.9), "factory": (1, 0.85), "handler": (2, 0.8), "test_files": (2, 0.9), "custom_exceptions": (2, 0.9), "rest_naming": (3, 0.85), "route_handlers": (2, 0.9), "async_naming": (2, 0.8), "minimal_imports": (4, 0.6), "heavy_imports": (4, 0.0)}
+    few, many = found(4), found(18)
+    assert {k: few[k] for k in want} == want and len(few) == 16
+    assert many["minimal_imports"] == (18, 0.0) and many["heavy_imports"] == (18, 0.6) and found(0)["minimal_imports"] == (0, 0.0)
+
+
+def test_a_path_has_no_limit_of_hops(spark, monkeypatch):
+    asked = []
+    reach = graph.reach
+    monkeypatch.setattr(graph, "reach", lambda steps, seeds, most=None: asked.append(most) or reach(steps, seeds, most))
+    graph.shortest_path(spark.createDataFrame([("a", "b", "imports")], "source_id string, target_id string, type string"), "a", "b")
+    assert asked == [None]
