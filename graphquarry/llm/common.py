@@ -43,6 +43,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark deletes the shuffle files of a finished job once its driver has collected the plan, which may otherwise take hours.
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
