@@ -10,6 +10,8 @@ from .common import WORD, materialize
 
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 8
+#: A word with the white space behind it, and at the start of a text before it.
+CHUNK = r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -44,15 +46,19 @@ class Mix:
     """A mix of ``docs``. Its parts are DataFrames:
 
     sizes   one row per row of docs: row, doc_id, sidx, size (words; null text: 0)
-    sources sidx, source, source_size, target, n_blocks, quota (blocks that the mix takes)
-    pieces  the packing: sidx, block, row, doc_id, first (word), n (words); blocks of ``length`` words, a source's last is shorter
-    draws   shard, sidx, draw, block: the output's slots
+    sources sidx, source, source_size, target, n_blocks, quota (blocks that the mix takes), last (words that its last block gives)
+    pieces  the packing: sidx, block, row, doc_id, first (word), n (words), at (its first word's place in the block); blocks of
+            ``length`` words, a source's last is shorter
+    draws   shard, sidx, draw, block, words (that are taken of the block): the output's slots
+
+    A source's blocks come in turns of all of them, the shorter one last in each; of the last block drawn only so many words are taken
+    that the source gives its target, rounded down.
 
     Docs with no words lie in no block. Null sources are a source. Repeated rows count each. Only the table of sources goes
     to the driver. A hot source is one of many (source, bucket) pairs wherever rows are dealt out, never one task's.
     """
 
-    def __init__(self, docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, length: int | None = None, shard: int = 1024, seed: int = 17, texts: bool = False):
+    def __init__(self, docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, length: int = 128, shard: int = 1024, seed: int = 17, texts: bool = False):
         self.spark, self.seed, self.cap = docs.sparkSession, seed, cap
         size = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0))
         rows = docs.select("doc_id", "source", F.greatest(size, F.lit(0)).cast("long").alias("size"), *([F.col("text")] if texts else []))
@@ -65,18 +71,17 @@ class Mix:
             self.n_docs += r["n"]
         table = [r.asDict() for r in targets(kept.select("source", "source_size"), weights, cap).collect()]
         kept.unpersist()
-        total = sum(r["source_size"] for r in table)
-        self.length = length or max(1, min(128, total // 20_000))
+        self.length = length
         for r in table:
             size, want = r["source_size"], r["target"]
-            r["n_blocks"] = -(-size // self.length)
-            full = int(want / size + 1e-9) if size else 0
-            part = min(size, max(0.0, want - full * size)) if full < cap else 0.0
-            r["quota"] = full * r["n_blocks"] + (min(r["n_blocks"], round(part / size * r["n_blocks"])) if size else 0)
+            r["n_blocks"] = -(-size // length)
+            turns, rest = divmod(min(int(want + 1e-6), int(cap * size)), size) if size else (0, 0)
+            r["quota"] = turns * r["n_blocks"] + -(-rest // length)
+            r["last"] = rest - (-(-rest // length) - 1) * length if rest else length
         self.table = sorted(table, key=lambda r: r["sidx"])
         self.total = sum(r["quota"] for r in table)
         self.shard = max(shard, self.total // 1_000_000)
-        schema = "sidx int, source string, source_size long, target double, n_blocks long, quota long"
+        schema = "sidx int, source string, source_size long, target double, n_blocks long, quota long, last long"
         self.sources = self.spark.createDataFrame([[r[c.split()[0]] for c in schema.split(", ")] for r in self.table], schema)
         self.sizes = rows.join(F.broadcast(self.sources.select("sidx", F.col("source").alias("__s"))), F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "source")
 
@@ -90,10 +95,18 @@ class Mix:
         inner = F.sum("size").over(Window.partitionBy("sidx", "bucket").orderBy("doc_id", "row")) - F.col("size")
         placed = rows.withColumn("inner", inner).join(offset, ["sidx", "bucket"]).withColumn("off", F.col("base") + F.col("inner"))
         n = self.length
-        cut = placed.withColumn("block", F.explode(F.sequence(F.expr(f"off div {n}"), F.expr(f"(off + size - 1) div {n}"))))
-        first = F.greatest(F.col("block") * n - F.col("off"), F.lit(0))
-        last = F.least((F.col("block") + 1) * n - F.col("off"), F.col("size"))
-        return cut.select("sidx", "block", "off", "row", "doc_id", first.alias("first"), (last - first).alias("n"), *[c for c in ("text",) if c in cut.columns])
+        numbers = F.sequence(F.expr(f"off div {n}"), F.expr(f"(off + size - 1) div {n}"))
+        first = lambda b: F.greatest(b * n - F.col("off"), F.lit(0))
+        last = lambda b: F.least((b + 1) * n - F.col("off"), F.col("size"))
+        piece = lambda b: [b.alias("block"), first(b).alias("first"), (last(b) - first(b)).alias("n"), (F.col("off") + first(b) - b * n).alias("at")]
+        columns = ["sidx", "p.block", "off", "row", "doc_id", "p.first", "p.n", "p.at"]
+        if "text" not in placed.columns:
+            return placed.withColumn("p", F.explode(F.transform(numbers, lambda b: F.struct(*piece(b))))).select(*columns)
+        # A text is cut into words once; a piece is a range of them with the white space between.
+        placed = placed.select("*", F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0)).alias("chunks")).drop("text")
+        # explode() would add a filter on the number of pieces, which cuts the text once more.
+        pieces = F.transform(numbers, lambda b: F.struct(*piece(b), F.slice("chunks", (first(b) + 1).cast("int"), (last(b) - first(b)).cast("int")).alias("chunks")))
+        return placed.withColumn("p", F.explode_outer(pieces)).select(*columns, "p.chunks")
 
     @property
     def counts(self) -> DataFrame:
@@ -132,13 +145,16 @@ class Mix:
     @property
     def draws(self) -> DataFrame:
         each = self.counts.select("shard", "sidx", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("draw"))
-        each = each.join(F.broadcast(self.sources.select("sidx", "n_blocks")), "sidx")
-        turn = F.expr("draw div n_blocks")
-        return each.select("shard", "sidx", "draw", permuted(F.expr("draw % n_blocks"), F.col("n_blocks"), F.lit(self.seed), F.col("sidx"), turn).alias("block"))
+        each = each.join(F.broadcast(self.sources.select("sidx", "n_blocks", "quota", "last", "source_size")), "sidx")
+        turn, at, full = F.expr("draw div n_blocks"), F.expr("draw % n_blocks"), F.col("n_blocks") - 1
+        block = F.when(at == full, full).otherwise(permuted(at, F.greatest(full, F.lit(1)), F.lit(self.seed), F.col("sidx"), turn))
+        words = F.when(F.col("draw") == F.col("quota") - 1, F.col("last")).otherwise(F.lit(self.length))
+        return each.select("shard", "sidx", "draw", block.alias("block"), words.cast("long").alias("words"))
 
     def rows(self) -> DataFrame:
-        """The mix by reference: shard, sidx, draw, block and the piece of a document."""
-        return self.draws.join(self.pieces, ["sidx", "block"])
+        """The mix by reference: shard, sidx, draw, block and the piece of a document, ``n`` the words that are taken of it."""
+        met = self.draws.join(self.pieces, ["sidx", "block"]).where("at < words")
+        return met.withColumn("n", F.least("n", F.col("words") - F.col("at")))
 
     def taken(self) -> DataFrame:
         """Per row of docs: doc_id, size, source_size, target, taken, source."""
@@ -147,13 +163,14 @@ class Mix:
         return all_rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
     def blocks(self) -> DataFrame:
-        """The mix itself (needs texts=True): shard, slot, source, block, doc_ids, n_words, text (words with single spaces)."""
-        words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-        part = F.array_join(F.slice(words, F.col("first").cast("int") + 1, F.col("n").cast("int")), " ")
-        packed = self.pieces.select("sidx", "block", F.struct("off", "row", "doc_id", "n", part.alias("part")).alias("p"))
+        """The mix itself (needs texts=True): shard, slot, source, block, doc_ids, n_words, text. Pieces of several documents stand on
+        lines of their own; within a piece white space is as in the document."""
+        packed = self.pieces.select("sidx", "block", F.struct("off", "row", "doc_id", "at", "n", "chunks").alias("p"))
         packed = packed.groupBy("sidx", "block").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-        packed = packed.select("sidx", "block", F.col("ps.doc_id").alias("doc_ids"), F.aggregate("ps.n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_words"), F.array_join("ps.part", " ").alias("text"))
         slot = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(self.seed), "sidx", "draw"), "sidx", "draw")) - 1
         placed = self.draws.withColumn("slot", slot)
         named = placed.join(packed, ["sidx", "block"]).join(F.broadcast(self.sources.select("sidx", "source")), "sidx")
-        return named.select("shard", "slot", "source", "block", "doc_ids", "n_words", "text")
+        cut = lambda p: F.slice(p["chunks"], F.lit(1), F.least(p["n"], F.col("words") - p["at"]).cast("int"))
+        taken = named.withColumn("ps", F.filter("ps", lambda p: p["at"] < F.col("words")))
+        n_words = F.aggregate("ps", F.lit(0).cast("long"), lambda a, p: a + F.least(p["n"], F.col("words") - p["at"]))
+        return taken.select("shard", "slot", "source", "block", F.col("ps.doc_id").alias("doc_ids"), n_words.alias("n_words"), F.array_join(F.transform("ps", lambda p: F.array_join(cut(p), "")), "\n").alias("text"))
