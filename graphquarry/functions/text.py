@@ -52,7 +52,8 @@ def complexity(text: Column) -> Column:
 
 
 def type_references(text: Column, builtins: tuple[str, ...] = ()) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-zA-Z0-9_]*)\b"), F.lit(1)))
+    # A word's ends are those of ASCII words: a letter beyond ASCII before or behind a name ends it.
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z0-9_]*)"), F.lit(1)))
     return F.array_sort(F.array_except(found, F.array(*[F.lit(b) for b in builtins]).cast("array<string>")))
 
 

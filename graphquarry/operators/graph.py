@@ -29,15 +29,29 @@ def oriented(edges: DataFrame, direction: str, types: list[str] | None = None, e
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
-def reach(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(id, depth, edge_type) of all nodes reached from ``seeds`` (id), seeds at depth 0; the type is the least of a first step."""
-    steps = stored(steps.distinct())
-    visited = stored(seeds.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("edge_type")).dropDuplicates(["id"]))
+#: Searches of at most so many hops read the edges as they are; deeper ones store the steps, which every hop reads, once.
+SHALLOW = 3
+
+
+def reach(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, paths: bool = False) -> DataFrame:
+    """(id, depth, edge_type) of all nodes reached from ``seeds`` (id), seeds at depth 0; the type is the least of a first step.
+
+    With ``paths`` also path, the ids from a seed to the node: of the shortest paths the smallest.
+    """
+    if max_depth is None or max_depth > SHALLOW:
+        steps = stored(steps)
+    own = [F.array("id").alias("path")] if paths else []
+    visited = stored(seeds.dropDuplicates(["id"]).select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("edge_type"), *own))
     frontier, depth = visited, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        near = frontier.select(F.col("id").alias("a")).join(steps, "a").groupBy(F.col("b").alias("id")).agg(F.min("type").alias("edge_type"))
-        frontier = stored(near.join(visited.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "edge_type"))
+        from_ = frontier.select(F.col("id").alias("a"), *(["path"] if paths else []))
+        more = [F.min("path").alias("path")] if paths else []
+        near = from_.join(steps, "a").groupBy(F.col("b").alias("id")).agg(F.min("type").alias("edge_type"), *more)
+        fresh = near.join(visited.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "edge_type", *([F.concat("path", F.array("id")).alias("path")] if paths else []))
+        if depth == max_depth:
+            return visited.unionByName(stored(fresh))
+        frontier = stored(fresh)
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
@@ -75,42 +89,63 @@ def shortest_path(edges: DataFrame, source: str, target: str, types=None, most:
     """Node ids of a shortest path: along the edges, else against them, else in either direction; ties by smallest predecessor."""
     if source == target:
         return [source]
-    spark = edges.sparkSession
-    seed = spark.createDataFrame([(source,)], "id string")
+    seed = edges.sparkSession.createDataFrame([(source,)], "id string")
     for direction in ("out", "in", "both"):
-        steps = oriented(edges, direction, types)
-        found = stored(reach(steps, seed, most))
-        end = found.where(F.col("id") == target).first()
+        end = reach(oriented(edges, direction, types), seed, most, paths=True).where(F.col("id") == target).first()
         if end:
-            path = [target]
-            for depth in range(end["depth"] - 1, -1, -1):
-                before = found.where(F.col("depth") == depth).join(steps.where(F.col("b") == path[0]).select(F.col("a").alias("id")), "id").agg(F.min("id")).first()[0]
-                path.insert(0, before)
-            return path
+            return end["path"]
     return None
 
 
+def edge_types(edges: DataFrame) -> DataFrame:
+    return edges.select("type").distinct()
+
+
+def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind (node or edge), type, n."""
+    count = lambda df, kind: df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
+    return count(nodes, "node").unionByName(count(edges, "edge"))
+
+
+def has_node(nodes: DataFrame, node: str) -> bool:
+    return not nodes.where(F.col("id") == node).isEmpty()
+
+
+def impacted(nodes: DataFrame, edges: DataFrame, seed: DataFrame, depth: int = 10) -> DataFrame:
+    """id, name, type, file_path, depth of what depends on a node over edges of all types, by path and name."""
+    found = ancestors(edges, seed, None, depth).select("id", "depth")
+    return found.join(nodes.select("id", "name", "type", "file_path"), "id").orderBy(F.coalesce("file_path", F.lit("")), "name", "id")
+
+
+def impact_risk(found: DataFrame) -> DataFrame:
+    """One row, files, level: how many files (names, where there is none) are impacted."""
+    n = F.col("files")
+    level = F.when(n <= 5, "low").when(n <= 15, "medium").when(n <= 50, "high").otherwise("extreme")
+    return found.agg(F.countDistinct(F.coalesce("file_path", "name")).alias("files")).withColumn("level", level)
+
+
 def components(edges: DataFrame, types=None) -> DataFrame:
     """(id, component) of strongly connected components of two or more nodes; component is the smallest id in it.
 
-    Nodes without in- or out-edges are trimmed, then forward colouring and backward search take at least one component of each
-    colour in a round.
+    Nodes without in- or out-edges are trimmed, then a forward colouring with pointer jumping and a backward search inside each colour
+    take at least one component of each colour in a round.
     """
     rest = stored(oriented(edges, "out", types).where("a <> b").select("a", "b").distinct())
     out = None
     while True:
-        while True:
-            kept = stored(rest.join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(rest.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-            same = kept.count() == rest.count()
-            rest = kept
-            if same:
-                break
+        # Two layers go before each colouring; what hangs on in long chains has colours of its own and costs no round.
+        for _ in range(2):
+            rest = rest.join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(rest.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        rest = stored(rest)
         if rest.isEmpty():
             break
         color = stored(rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().withColumn("color", F.col("id")))
         while True:
             into = rest.join(color.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("color").alias("c"))
-            new = stored(color.join(into, "id", "left").select("id", F.least("color", F.coalesce("c", "color")).alias("color"), F.col("color").alias("was")))
+            low = color.join(into, "id", "left").select("id", F.least("color", F.coalesce("c", "color")).alias("low"), F.col("color").alias("was"))
+            # A colour's own colour reaches what the colour reaches: chains shorten geometrically.
+            jump = color.select(F.col("id").alias("low"), F.col("color").alias("to"))
+            new = stored(low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("to", "low")).alias("color"), "was"))
             color = new.select("id", "color")
             if new.where("color <> was").isEmpty():
                 break

@@ -19,7 +19,7 @@ NODES = f"""select concat('mod:supplier/', {_S('s_suppkey')}) as id, 'module' as
 union all select {_CLS('p')}, 'class', p_brand, concat('part/', {_S('p_partkey')}), 0 from part p
 union all select {_FN('p')}, 'function', p_name, concat('part/', {_S('p_partkey')}), p_size from part p
 union all select distinct concat('ext:', p_type), 'external', p_type, cast(null as varchar(20)), 0 from part"""
-_NEXT = "select a.l_suppkey as s1, b.l_suppkey as s2, a.l_partkey as p1, b.l_partkey as p2 from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_linenumber = 1 and a.l_returnflag = 'R' and b.l_returnflag = 'A'"
+_NEXT = "select a.l_suppkey as s1, b.l_suppkey as s2, a.l_partkey as p1, b.l_partkey as p2 from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1"
 EDGES = f"""select distinct source_id, target_id, type from (
 select {_CLS('p')} as source_id, {_FN('p')} as target_id, 'contains' as type from part p
 union all select {_CLS('p')}, concat('ext:', p_type), 'inherits' from part p
@@ -132,11 +132,6 @@ def scc_members(spark, sf_dir):
     return graph.components(_graph(spark, sf_dir)[1], ["imports"])
 
 
-@named(f"{_WITH}, c as (select target_id as id, count(distinct source_id) as n from edges group by target_id) select m.id, coalesce(n, 0) as dependents, cast(least(case when coalesce(n, 0) > 20 then 3 when coalesce(n, 0) > 10 then 2 when coalesce(n, 0) > 5 then 1 else 0 end + case when coalesce(n, 0) > 0 then 2 else 0 end, 10) as int) as risk from nodes m left join c using (id) where type = 'module'")
-def sus_scan(spark, sf_dir):
-    return rules.risk(*_graph(spark, sf_dir))
-
-
 @named(f"{_WITH} select target_id as id, count(distinct source_id) as n, case when count(distinct source_id) <= 5 then 'low' when count(distinct source_id) <= 15 then 'medium' when count(distinct source_id) <= 50 then 'high' else 'extreme' end as level from edges group by target_id")
 def yolo_levels(spark, sf_dir):
     edges = _graph(spark, sf_dir)[1]
@@ -212,19 +207,25 @@ def text_complexity(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.complexity(F.col("text")).alias("complexity"))
 
 
-@named("select doc_id, cast(len(list_distinct(regexp_extract_all(text, '\\b([A-Z][a-zA-Z0-9_]*)\\b', 1))) as int) as n_types from documents where regexp_full_match(text, '[\\x00-\\x7F]*')")
+@named("select doc_id, cast(len(list_distinct(regexp_extract_all(coalesce(text, ''), '\\b([A-Z][a-zA-Z0-9_]*)\\b', 1))) as int) as n_types from documents")
 def type_references(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
-    return docs.select("doc_id", F.size(text.type_references(F.col("text"))).alias("n_types"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.size(text.type_references(F.coalesce("text", F.lit("")))).alias("n_types"))
 
 
-@named()
+_FOUND = " + ".join("len(regexp_extract_all(coalesce(text, ''), '" + p.replace("'", "''") + "'))" for _, p in text.SECRETS)
+
+
+@named(f"select doc_id, cast({_FOUND} as int) as n_secrets from documents")
 def secrets(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.size(text.find_secrets("text")).alias("n_secrets"))
 
 
-@named()
+_CASES = "case when regexp_matches(name, '^__[a-z0-9_]+__$') then 'dunder' when regexp_matches(name, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$') then 'screaming' when regexp_matches(name, '^_*[a-z0-9]+(_[a-z0-9]+)*_?$') then 'snake' when regexp_matches(name, '^[a-z]+[a-zA-Z0-9]*$') then 'camel' when regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$') then 'pascal' when regexp_matches(name, '^[a-z0-9]+(-[a-z0-9]+)+$') then 'kebab' else 'other' end"
+
+
+@named(f"{_WITH} select id, {_CASES} as convention from nodes")
 def naming(spark, sf_dir):
     return _graph(spark, sf_dir)[0].select("id", text.naming(F.col("name")).alias("convention"))
 
@@ -235,3 +236,6 @@ def queries():
 
 def oracle_sql():
     return dict(SQL)
+
+
+from . import source_queries  # noqa: E402, F401  registers its queries

@@ -7,8 +7,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph, resolve
+
 HEADS = {**dict.fromkeys(("fn", "func", "functions", "meth", "method", "methods"), "function"), **dict.fromkeys(("cls", "class", "classes"), "class"), **dict.fromkeys(("mod", "module", "modules"), "module")}
-VERBS = ("deps", "dependents", "impact", "ancestors", "callers", "callees", "path")
+#: Verbs by what they do: the direction, the edge types (None: all), and whether contains edges are left out.
+VERBS = {"deps": ("out", None, True), "dependents": ("in", None, True), "impact": ("out", None, False), "ancestors": ("in", None, False), "callers": ("in", ["calls"], False), "callees": ("out", ["calls"], False)}
+#: Hops that a verb goes where it isn't said.
+DEPTHS = {"deps": 1, "dependents": 1, "callers": 1, "callees": 1}
 COLUMNS = ("id", "type", "name", "file_path", "line_start", "line_end", "complexity")
 
 
@@ -30,7 +35,7 @@ def normalised(sql: str) -> str:
 
 def terse(nodes: DataFrame, text: str) -> DataFrame | None:
     """The rows that a terse query asks for; None where the text isn't one (SQL, or a graph verb)."""
-    head, *rest = text.split()
+    head, *rest = text.split() or [""]
     if head.lower() not in HEADS:
         return None
     found, order, limit = nodes.where(F.col("type") == HEADS[head.lower()]), None, 100
@@ -50,8 +55,51 @@ def terse(nodes: DataFrame, text: str) -> DataFrame | None:
     return (found.orderBy(order, "id") if order is not None else found).limit(limit)
 
 
-def query(spark: SparkSession, text: str, limit: int | None = None) -> DataFrame:
-    """A terse query or SQL over the registered views."""
+def verb(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame | None:
+    """The rows that a graph verb asks for; None where the text isn't one.
+
+    deps X, dependents X, callers X, callees X go one hop, impact X and ancestors X as far as edges lead; dN or a number says how many
+    hops, lN how many rows (100 without). Rows are id, name, type, file_path, depth by depth and name. path X Y gives step, id of a
+    shortest path. X is resolved as resolve.node() does.
+    """
+    head, *rest = text.split() or [""]
+    head = head.lower()
+    depths = [int(m[1]) for w in rest if (m := re.fullmatch(r"d(?:epth)?(\d+)|(\d+)", w)) and m[1]] or [int(w) for w in rest if w.isdigit()]
+    limits = [int(w[1:]) for w in rest if re.fullmatch(r"l\d+", w)]
+    names = [w for w in rest if not re.fullmatch(r"d(?:epth)?\d+|l?\d+", w)]
+    spark = nodes.sparkSession
+    if head == "path" and len(names) == 2:
+        found = graph.shortest_path(edges, *(resolve.node(nodes, n) for n in names)) or []
+        return spark.createDataFrame(list(enumerate(found)), "step int, id string")
+    if head not in VERBS or len(names) != 1:
+        return None
+    direction, types, outer = VERBS[head]
+    seed = spark.createDataFrame([(resolve.node(nodes, names[0]),)], "id string")
+    depth = depths[0] if depths else DEPTHS.get(head)
+    if outer:
+        found = graph.deps(edges, seed, reverse=direction == "in", depth=depth, nodes=nodes)
+    else:
+        found = graph.reach(graph.oriented(edges, direction, types), seed, depth).where("depth > 0")
+    rows = found.join(nodes.select("id", "name", "type", "file_path"), "id").select("id", "name", "type", "file_path", "depth")
+    return rows.orderBy("depth", "name", "id").limit(limits[0] if limits else 100)
+
+
+#: What --schema and --examples say.
+SCHEMA = {"nodes": ("id", "type", "name", "qualified_name", "file_path", "line_start", "line_end", "properties", "complexity"), "edges": ("id", "source_id", "target_id", "type", "properties")}
+EXAMPLES = ("fn c>10 o:-complexity l20", "cls n%service", "mod f%src/api", "deps Auth d2", "path A B", "SELECT type, COUNT(*) FROM nodes GROUP BY type")
+
+
+def query(spark: SparkSession, text: str, limit: int | None = None, args: list | dict | None = None) -> DataFrame:
+    """A terse query, a graph verb or SQL (with parameters) over the registered views. A limit is added to SQL that has none."""
     found = terse(spark.table("nodes"), text)
-    found = spark.sql(normalised(text)) if found is None else found
+    if found is None:
+        found = verb(spark.table("nodes"), spark.table("edges"), text)
+    if found is None:
+        found = spark.sql(normalised(text), args=args) if args else spark.sql(normalised(text))
+        return found if limit is None or re.search(r"\slimit\s", text, re.I) else found.limit(limit)
     return found.limit(limit) if limit is not None else found
+
+
+def as_dicts(found: DataFrame) -> list[dict]:
+    """The rows of a result as tables in the driver; for results that a limit bounds."""
+    return [r.asDict(recursive=True) for r in found.collect()]

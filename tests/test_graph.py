@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphquarry.functions import text
-from graphquarry.operators import diff, export, graph, rules, search, storage
+from graphquarry.operators import checks, diff, embeddings, export, graph, overview, resolve, rules, search, semantic_diff, storage
 from graphquarry.plans import terse
-from graphquarry.sources import code
+from graphquarry.sources import build, files, parsers
 
 
 @pytest.fixture(scope="module")
@@ -71,12 +71,193 @@ def test_text(spark):
     assert [r["n"] for r in found] == [1, 0, 0] and "REDACTED:aws_access_key_id" in found[0]["r"]
 
 
-def test_python_graph(spark):
-    files = spark.createDataFrame([("main.py", "import os\nfrom utils import helper\nclass C(Base):\n    def run(self):\n        helper()\n"), ("utils.py", "def helper():\n    if 1:\n        return 2\n")], "path string, source string")
-    nodes, edges = code.python_graph(files)
-    assert {"mod:main.py", "cls:main.py:C", "fn:main.py:C.run", "fn:utils.py:helper", "ext:os", "ext:Base"} <= ids(nodes)
+def test_source_graph(spark):
+    rows = [("main.py", "import os\nfrom utils import helper\nclass C(Base):\n    def run(self):\n        self.go(); helper()\n    def go(self): pass\n"), ("utils.py", "def helper():\n    if 1:\n        return 2\n"), ("bad.py", "def (")]
+    nodes, edges = build.graph(spark.createDataFrame(rows, "path string, source string"))
+    assert ids(nodes) == {"mod:main.py", "cls:main.py:C", "fn:main.py:C.run", "fn:main.py:C.go", "mod:utils.py", "fn:utils.py:helper", "ext:os", "ext:utils", "ext:Base"}
     got = {tuple(r) for r in edges.select("source_id", "target_id", "type").collect()}
-    assert ("mod:main.py", "mod:utils.py", "imports") in got and ("fn:main.py:C.run", "fn:utils.py:helper", "calls") in got and ("cls:main.py:C", "ext:Base", "inherits") in got
+    # A name without a dot is external, as nothing says where it is.
+    assert {("mod:main.py", "ext:utils", "imports"), ("fn:main.py:C.run", "fn:utils.py:helper", "calls"), ("fn:main.py:C.run", "fn:main.py:C.go", "calls"), ("cls:main.py:C", "ext:Base", "inherits")} <= got
+
+
+@pytest.mark.parametrize(("module", "path", "want"), [
+    ("os", "src/main.py", "ext:os"), ("mu.core", "src/main.py", "mod:mu/core"), (".utils", "a/b/c.py", "mod:a/b/utils.py"), ("..utils", "a/b/c.py", "mod:a/utils.py"), ("...x.y", "a/b/c.py", "mod:x/y.py"), (".", "a/b/c.py", "mod:a/b"),
+    ("./foo", "a/b/c.ts", "mod:a/b/foo/index.ts"), ("../foo/bar", "a/b/c.ts", "mod:a/foo/bar/index.ts"), ("./foo.ts", "a/c.ts", "mod:a/foo.ts"), ("react", "a/c.ts", "ext:react"),
+])
+def test_imports(spark, module, path, want):
+    assert spark.range(1).select(build.plain_import(F.lit(module), F.lit(path)).alias("x")).first()["x"] == want
+
+
+def test_aliases_workspaces_and_namespaces(spark, tmp_path):
+    (tmp_path / "tsconfig.json").write_text('{ // paths\n "extends": "./base.json", }')
+    (tmp_path / "base.json").write_text('{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"]}}}')
+    (tmp_path / "package.json").write_text('{"workspaces": ["packages/*"]}')
+    (tmp_path / "packages" / "p").mkdir(parents=True)
+    (tmp_path / "packages" / "p" / "package.json").write_text('{"name": "@org/p"}')
+    aliases, packages = files.path_aliases(str(tmp_path)), files.workspaces(str(tmp_path))
+    assert aliases == [("@/*", "src/*")] and packages == [("@org/p", "packages/p")]
+    rows = [("web/a.ts", "import y from '@/lib/z';\nimport q from '@org/p/sub';\nimport n from '@/none';"), ("src/lib/z.ts", "export function g(){}"), ("packages/p/sub.ts", ""), ("s/A.cs", "using My.App.Core.Deep;\nusing System;\nnamespace My.App { class A { } }"), ("s/B.cs", "namespace My.App.Core { class B { } }")]
+    parsed = build.parse(spark.createDataFrame(rows, "path string, source string"))
+    found = {(r["module"], r["to"]) for r in build.resolved_imports(parsed, aliases, packages).collect()}
+    assert found == {("@/lib/z", "mod:src/lib/z.ts"), ("@org/p/sub", "mod:packages/p/sub.ts"), ("@/none", "mod:src/none.ts"), ("My.App.Core.Deep", "mod:s/B.cs"), ("System", "ext:System")}
+
+
+def test_scan_and_cache(spark, tmp_path):
+    for path, text in (("a.py", "x = 1\n"), ("b.tsx", "x"), ("c.xyz", ""), ("node_modules/d.js", ""), (".h/e.py", ""), ("skip/f.py", ""), ("g/__init__.py", ""), (".gitignore", "skip/\n")):
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(text)
+    found = files.scan(spark, str(tmp_path))
+    assert {(r["path"], r["language"], r["lines"]) for r in found.collect()} == {("a.py", "python", 1), ("b.tsx", "tsx", 0), ("g/__init__.py", "python", 0)}
+    assert {r["path"] for r in files.scan(spark, str(tmp_path), extensions=[".py"], hidden=True).collect()} == {"a.py", ".h/e.py", "g/__init__.py"}
+    cache = found.where("path = 'a.py'").select("path", "hash")
+    assert {r["path"] for r in files.unparsed(found, cache).collect()} == {"b.tsx", "g/__init__.py"} and files.cached(found, cache).count() == 1
+    assert tuple(files.hit_rate(found, cache).first()) == (3, 1, 1 / 3)
+    assert [tuple(r) for r in files.mentions(found, "= 1").collect()] == [("a.py", 1, "x = 1\n")]
+
+
+def test_git(spark, tmp_path):
+    import subprocess
+
+    run = lambda *w: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e", *w], check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    for i, name in enumerate(("a.py", "b.py")):
+        (tmp_path / name).write_text(f"x = {i}\n")
+        run("add", "."), run("commit", "-qm", f"add {name}")
+    assert [(r["file"], r["subject"], r["author"]) for r in files.commits(spark, str(tmp_path)).collect()] == [("b.py", "add b.py", "n"), ("a.py", "add a.py", "n")]
+    assert [tuple(r) for r in files.changed_files(spark, str(tmp_path), "main~1", "main").collect()] == [("b.py", "python")]
+    assert [tuple(r) for r in files.at_revision(spark, str(tmp_path), "main~1", ["a.py", "b.py"]).collect()] == [("a.py", "x = 0\n")]
+
+
+SOURCES = {
+    "a.ts": ("import { A, B as C } from './foo';\nimport D from \"bar\";\n// import x from 'no'\nexport class Svc extends Base implements I1 {\n  private name: string;\n  constructor(private readonly x: number, y?: string) { this.init(); }\n  async get<T>(id: string): Promise<T> { if (id && this.x) { return await fetchIt(id); } return null; }\n}\nexport interface Foo { bar(x: number): void; baz: string }\nexport const arrow = async (a: number, b = 2): Promise<void> => { for (const i of a) { api.call(i) } };\nfunction plain(...rest) { return require('zzz'); }\n",
+        [("./foo", ["A", "B"]), ("bar", ["D"]), ("zzz", [])], {"Svc": (["Base", "I1"], ["constructor", "get"]), "Foo": ([], ["bar"])}, {"arrow": 2, "plain": 1}, {"get": 3}),
+    "m.go": ("package main\nimport (\n  \"fmt\"\n  m \"math\"\n)\ntype Server struct {\n\tBase\n\tName, Other string\n}\nfunc (s *Server) Run(a, b int) (int, error) {\n\tif a > 0 && b > 0 { fmt.Println(\"if x {\") }\n\tfor { s.step() }\n}\nfunc helper() { Run() }\n",
+        [("fmt", []), ("math", [])], {"Server": (["Base"], [])}, {"Run": 4, "helper": 1}, {}),
+    "User.java": ("package com.x;\nimport java.util.List;\n@Entity\npublic class User extends Base implements A<B>, C {\n  private String name;\n  public User(String name) { this.name = name; }\n  @Override\n  public List<String> get(int a, final String b) { if (a > 1 || b == null) { helper(a); new Foo(a); } return null; }\n  static class Inner { int z; }\n}\nenum Color { RED, GREEN; }\n",
+        [("java.util.List", ["List"])], {"User": (["Base", "A", "C"], ["User", "get"]), "Inner": ([], []), "Color": ([], [])}, {}, {"get": 3}),
+    "p.rs": ("use std::collections::{HashMap, HashSet};\nmod util;\n#[derive(Debug)]\npub struct Point { pub x: i32 }\npub trait Shape: Clone { fn area(&self) -> f64; }\nimpl Shape for Point { fn area(&self) -> f64 { match self.x { 1 => 0.0, _ => self.helper() } } }\nimpl Other { fn z(&mut self) { println!(\"}\"); } }\npub async fn run(a: &str) -> u8 { if a.is_empty() || true { go(a) } }\n",
+        [("std::collections", ["HashMap", "HashSet"]), ("util", [])], {"Point": (["Shape"], ["area"]), "Shape": (["Clone"], ["area"]), "Other": ([], ["z"])}, {"run": 3}, {}),
+    "u.cs": ("using System;\nnamespace My.App {\n  [ApiController]\n  public class UserService : BaseService, IUser {\n    public string Name { get; set; }\n    public async Task<int> GetAsync(int id, string s = \"a\") { if (id > 0) { _repo.Find(id); } return await Other(id) ?? 1; }\n  }\n  public enum Kind { A, B }\n}\n",
+        [("System", [])], {"UserService": (["BaseService", "IUser"], ["GetAsync", "Name"]), "Kind": ([], [])}, {}, {"GetAsync": 3}),
+}
+
+
+@pytest.mark.parametrize("path", list(SOURCES))
+def test_parsers(path):
+    source, imports, classes, functions, methods = SOURCES[path]
+    m = parsers.parse(path, source, files_language(path))
+    assert m["error"] is None and [(i["module"], i["names"]) for i in m["imports"]] == imports
+    assert {c["name"]: (c["bases"], sorted(f["name"] for f in c["methods"])) for c in m["classes"]} == {k: (b, sorted(f)) for k, (b, f) in classes.items()}
+    assert {f["name"]: f["body_complexity"] for f in m["functions"]} == functions
+    assert {f["name"]: f["body_complexity"] for c in m["classes"] for f in c["methods"] if f["name"] in methods} == methods
+
+
+def files_language(path):
+    return {e: k for k, v in files.SCANNED.items() for e in v.split()}[path.rsplit(".", 1)[1]]
+
+
+def test_python_parser():
+    m = parsers.parse("x.py", 'import os, sys as s\nfrom . import q\nclass A(B):\n  """d"""\n  z = 1\n  @property\n  def m(self, x: Foo = 1, *a, **k) -> "Bar":\n    return [i for i in x if i and self.go(i)] or x.y.z()\nimport importlib\nimportlib.import_module("zz")\n', "py")
+    assert [(i["module"], i["names"], i["alias"], i["is_dynamic"]) for i in m["imports"]] == [("os", ["sys"], "s", False), (".", ["q"], None, False), ("importlib", [], None, False), ("zz", [], None, True)]
+    method = m["classes"][0]["methods"][0]
+    assert (method["is_property"], method["body_complexity"], [c["callee"] for c in method["call_sites"]], m["classes"][0]["docstring"], m["classes"][0]["attributes"], m["classes"][0]["referenced_types"]) == (True, 5, ["go", "x.y.z"], "d", ["z"], ["Bar", "Foo"])
+    assert [(p["name"], p["type_annotation"], p["is_variadic"], p["is_keyword"]) for p in method["parameters"]] == [("self", None, False, False), ("x", "Foo", False, False), ("a", None, True, False), ("k", None, False, True)]
+    assert parsers.parse("x.py", "def (", "py")["error"] and parsers.parse("x.zz", None, "zz")["error"] and parsers.parse("x.ts", None, "ts")["error"] is None
+
+
+def test_semantic_diff(spark):
+    parse = lambda rows: build.parse(spark.createDataFrame(rows, "path string, source string"))
+    base = parse([("a.py", "import os\nclass A(X):\n  z=1\n  def m(self,a:int=1): pass\n  def gone(self): pass\ndef f(x,y): return x\ndef g(): pass\n"), ("b.py", "x=1\ndef q(): pass")])
+    head = parse([("a.py", "import sys\nclass A(Y):\n  w=1\n  def m(self,a:str=2,b=3): pass\n  def new(self): pass\ndef f(x)->int: return x\nasync def h(p): pass\n"), ("c.py", "def r(): pass")])
+    changes = semantic_diff.semantic_diff(base, head)
+    got = {(r["path"], r["entity_type"], r["parent"], r["name"]): (r["change"], r["breaking"], r["details"]) for r in changes.collect()}
+    assert got == {
+        ("a.py", "attribute", "A", "w"): ("added", False, None), ("a.py", "attribute", "A", "z"): ("removed", True, None), ("a.py", "class", None, "A"): ("modified", True, "+bases: Y; -bases: X"),
+        ("a.py", "function", None, "f"): ("modified", True, "return: none -> int, 1 param changes"), ("a.py", "function", None, "g"): ("removed", True, None), ("a.py", "function", None, "h"): ("added", False, None),
+        ("a.py", "import", None, "os"): ("removed", False, None), ("a.py", "import", None, "sys"): ("added", False, None), ("a.py", "method", "A", "gone"): ("removed", True, None), ("a.py", "method", "A", "m"): ("modified", False, "2 param changes"),
+        ("a.py", "method", "A", "new"): ("added", False, None), ("a.py", "module", None, "a"): ("modified", False, "14 entity changes"), ("a.py", "parameter", "A.m", "a"): ("modified", True, "type: int -> str, default: 1 -> 2"),
+        ("a.py", "parameter", "A.m", "b"): ("added", False, "default: 3"), ("a.py", "parameter", "f", "y"): ("removed", True, None), ("b.py", "module", None, "b"): ("removed", True, None), ("c.py", "module", None, "c"): ("added", False, "1 functions, 0 classes"),
+    }
+    counters = semantic_diff.summary(changes).first().asDict()
+    assert len(counters) == 18 and counters["breaking_changes"] == 8 and counters["parameters_modified"] == 1
+    assert semantic_diff.summary_text(semantic_diff.summary(changes)).first()["text"].startswith("modules: 1 added, 1 removed, 1 modified; functions: ")
+    assert semantic_diff.semantic_diff(base, base).count() == 0
+    assert {(r["path"], r["kind"], r["change"]) for r in semantic_diff.named_diff(base, head, ["b.py"]).where("kind = 'file'").collect()} == {("b.py", "file", "removed")}
+
+
+@pytest.fixture(scope="module")
+def code(spark):
+    rows = [("src/auth/UserStore.ts", 'import {q} from "./x";\nexport class user_store { get_it(){ Helper(); } }\nfunction Helper(){}'), ("tests/UserStore.test.ts", 'import {user_store} from "../src/auth/UserStore.ts"\nfunction test_it(){}'), ("src/bad_Name.py", "def BadName(): pass\ndef api_call(): pass\nclass order: pass\nclass OrderStatus:\n  A=1\n")]
+    return build.graph(spark.createDataFrame(rows, "path string, source string"))
+
+
+def test_checks(spark, code):
+    nodes, edges = code
+    assert {(r["id"].rsplit(":", 1)[1], r["suggestion"]) for r in checks.naming_issues(nodes).collect()} == {("user_store", "Rename to 'UserStore'"), ("order", "Rename to 'Order'"), ("Helper", "Rename to 'helper'"), ("user_store.get_it", "Rename to 'getIt'"), ("BadName", "Rename to 'bad_name'"), ("test_it", "Rename to 'testIt'"), ("src/bad_Name.py", "Rename to 'bad_name'")}
+    assert {r["name"] for r in checks.untested(nodes).collect()} == {"Helper", "get_it", "BadName", "api_call"}
+    assert {(r["file"], r["suggestion"]) for r in checks.test_issues(nodes).collect()} == {("src/auth/UserStore.ts", "Create test file: __tests__/UserStore.test.ts"), ("src/bad_Name.py", "Create test file: tests/test_bad_Name.py")}
+    assert [r["message"] for r in checks.interface_issues(nodes).collect()] == ["API function 'api_call' lacks documentation"]
+    assert checks.import_issues(nodes, edges).count() == 0 and checks.import_issues(nodes, edges, most=0).count() == 1
+
+
+def test_risk(spark, code):
+    found = {r["id"]: (r["dependents"], r["risk"], [w["category"] for w in r["warnings"]]) for r in rules.risk(*code, None).collect()}
+    assert found["mod:src/auth/UserStore.ts"] == (1, 1, ["security"]) and found["cls:src/bad_Name.py:order"] == (1, 2, ["no tests"])
+    assert [r["id"] for r in rules.most_risky(*code).collect()] == ["mod:src/auth/UserStore.ts"]
+    assert rules.risk(*code, None, threshold=3).where("size(warnings) > 0").count() == 0
+
+
+def test_resolution_and_verbs(spark, code):
+    nodes, edges = code
+    assert resolve.node(nodes, "user_store") == "cls:src/auth/UserStore.ts:user_store" and resolve.node(nodes, "HELP").endswith(":Helper")
+    with pytest.raises(resolve.NotResolved, match="not found"):
+        resolve.node(nodes, "nowhere")
+    with pytest.raises(resolve.NotResolved, match="Multiple"):
+        resolve.node(nodes, "Name")
+    assert resolve.risky_node(nodes, "src/bad_Name.py") == "mod:src/bad_Name.py" and resolve.impact_target(nodes, "bad_Name.py") == "mod:src/bad_Name.py"
+    assert resolve.history_node(nodes, "bad") == "cls:src/bad_Name.py:OrderStatus" and resolve.place(nodes, "Helper") == ("src/auth/UserStore.ts", 3, 3)
+    terse.register(nodes, edges)
+    assert [r["id"] for r in terse.query(spark, "path user_store Helper").collect()] == ["cls:src/auth/UserStore.ts:user_store", "fn:src/auth/UserStore.ts:user_store.get_it", "fn:src/auth/UserStore.ts:Helper"]
+    assert [r["name"] for r in terse.query(spark, "callers Helper").collect()] == ["get_it"] and [r["name"] for r in terse.query(spark, "deps user_store").collect()] == ["src"]
+    assert terse.as_dicts(terse.query(spark, "select count(*) as n from nodes where type = ?", args=["class"])) == [{"n": 3}]
+    assert terse.query(spark, "select id from nodes", limit=2).count() == 2
+
+
+def test_overviews(spark, code):
+    nodes, edges = code
+    assert {(r["name"], r["score"]) for r in overview.entity_scores(nodes, edges).collect()} == {("user_store", 0), ("OrderStatus", -15), ("order", 45)}
+    assert [(r["name"], r["stars"]) for r in overview.entities(nodes, edges).collect()] == [("order", 3)]
+    assert overview.hot_paths(nodes, edges, 1).first()["name"] == "Helper"
+    lists = nodes.withColumn("properties", F.when(F.col("name") == "OrderStatus", '{"attributes": ["OPEN", "SHUT", "_x"]}'))
+    assert [(r["name"], r["states"]) for r in overview.flows(lists).collect()] == [("Order", ["OPEN", "SHUT"])]
+    outside = spark.createDataFrame([("ext:redis-py", "external", "redis-py"), ("ext:django", "external", "django")], "id string, type string, name string")
+    assert [tuple(r) for r in overview.integrations(outside).collect()] == [("redis", "cache")] and [r[0] for r in overview.tech_stack(outside).collect()] == ["Python/Django", "Redis"]
+    lines = [r["line"] for r in overview.s_expressions(nodes, edges).collect()]
+    assert '(cls "order" :path "src/bad_Name.py")' in lines and '(calls "fn:src/auth/UserStore.ts:user_store.get_it" "fn:src/auth/UserStore.ts:Helper")' in lines
+    assert overview.domain_name(overview.entities(nodes, edges), "my-app").first()["domain"] == "My App"
+
+
+def test_questions_and_embeddings(spark, code):
+    nodes, edges = code
+    assert search.words_of("How does the user_store Helper work?") == ["user_store", "Helper"]
+    assert spark.range(1).select(search.keywords(F.lit("How does the user_store Helper work?")).alias("k")).first()["k"] == ["user_store", "Helper"]
+    found = search.explain_question(nodes, edges, "how does get_it work?").collect()
+    assert [(r["name"], r["hop"], r["depends_on"]) for r in found][:2] == [("get_it", 0, ["Helper"]), ("Helper", 1, None)]
+    model = embeddings.HashedWords(64)
+    vectors = embeddings.embed_nodes(nodes, model)
+    query = model(["class user_store src/auth/UserStore.ts:user_store"])[0].tolist()
+    assert search.semantic_search(nodes, vectors, query, 1).first()["name"] == "user_store"
+    known = spark.createDataFrame([("src/bad_Name.py", "1"), ("gone.py", "1")], "file_path string, content_hash string")
+    now = spark.createDataFrame([("src/bad_Name.py", "2")], "file_path string, content_hash string")
+    assert embeddings.status(nodes, known, now, vectors).first().asDict() == {"total": 11, "embedded": 11, "missing": 0, "stale": 5, "model": "hashed-words", "coverage": 100.0}
+    kept, hashes = embeddings.incremental(nodes, known, now, vectors, model)
+    assert kept.count() == 11 and [r["file_path"] for r in hashes.collect()] == ["src/bad_Name.py"]
+    assert search.source_lines(nodes, spark.createDataFrame([("src/bad_Name.py", "def BadName(): pass\n")], "path string, source string")).where("id = 'fn:src/bad_Name.py:BadName'").first()["source"] == "def BadName(): pass"
+
+
+def test_impact(spark, code):
+    found = graph.impacted(*code, seed(spark, "fn:src/auth/UserStore.ts:Helper"))
+    assert found.count() == 4 and tuple(graph.impact_risk(found).first()) == (2, "low")
 
 
 def test_diff(spark):
@@ -98,6 +279,6 @@ def test_patterns(spark):
 def test_a_path_has_no_limit_of_hops(spark, monkeypatch):
     asked = []
     reach = graph.reach
-    monkeypatch.setattr(graph, "reach", lambda steps, seeds, most=None: asked.append(most) or reach(steps, seeds, most))
+    monkeypatch.setattr(graph, "reach", lambda steps, seeds, most=None, paths=False: asked.append(most) or reach(steps, seeds, most, paths))
     graph.shortest_path(spark.createDataFrame([("a", "b", "imports")], "source_id string, target_id string, type string"), "a", "b")
     assert asked == [None]
