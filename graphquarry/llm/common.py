@@ -6,6 +6,7 @@ Texts cross into Python as UTF-8 bytes (``cast('binary')``), so white space and
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 from functools import reduce
 
@@ -21,9 +22,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset, which
+    only a local master shares with its executors."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or f"{tempfile.gettempdir()}/graphquarry-{spark.sparkContext.applicationId}").rstrip("/")
 
 
 #: Rows that go to Python at a time: ten thousand texts, Spark's own number, take many MB in the JVM and again in Python.

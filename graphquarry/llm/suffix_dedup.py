@@ -2,9 +2,10 @@
 
 Of each window of LENGTH bytes the suffix that starts at its smallest K-byte hash is sampled (a minimizer), so equal windows are
 sampled at the same place and an index of the samples finds every repeated window. A batch of documents becomes a level: its
-sampled suffixes in the order of the fingerprint of their first K bytes, each with the text around it that its windows cover.
-A new batch is merge-scanned against every level, bucket by bucket of that order, and levels of equal size merge, so a
-suffix is rewritten a logarithmic number of times. Suffixes that occur once are never shipped.
+sampled suffixes, each with the text around it that its windows cover, dealt into buckets by the fingerprint of their first K bytes.
+A new batch is merge-scanned against every level, bucket by bucket: the suffixes of both are sorted by their bytes into one suffix
+array, neighbours with a common prefix of K bytes or more are runs, and the windows of a run are compared. Levels of equal size
+merge, so a suffix is rewritten a logarithmic number of times. Suffixes that occur once are never shipped.
 """
 
 from __future__ import annotations
@@ -103,16 +104,35 @@ def _extractor(shared):
     return extract
 
 
+def suffix_runs(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The sampled suffixes of a bucket as a suffix array: in the order of their bytes from the sampled place on, and for each the number
+    of the run of neighbours whose longest common prefix is K bytes or more. Suffixes alone in their run, and runs without a new one,
+    are left out."""
+    if not len(group):
+        return group, np.empty(0, np.int64)
+    suffix = [c[n:] for c, n in zip(group["context"], group["left"], strict=True)]
+    order = np.array(sorted(range(len(suffix)), key=suffix.__getitem__))
+    head = [suffix[i][:K] for i in order]
+    run = np.cumsum([0, *[x != y for x, y in zip(head, head[1:], strict=False)]])
+    fresh = group["fresh"].to_numpy(bool)[order]
+    size, new = np.bincount(run), np.bincount(run, weights=fresh)
+    wanted = (size[run] > 1) & (new[run] > 0)
+    return group.iloc[order[wanted]], run[wanted]
+
+
 def _scan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """Windows of the new rows of a bucket that start earlier in an old row or in another new one."""
-    group = group.sort_values("key", kind="stable")
+    """Windows of the new rows of a bucket that start earlier in an old row or in another new one: the merged suffix array's runs are
+    scanned, and inside a run windows are compared by their hashes."""
+    group, run = suffix_runs(group)
+    if not len(group):
+        return pd.DataFrame({"doc": [], "sig": [], "lo": [], "hi": []}).astype("int64")
     text = b"".join(group["context"])
     size = group["context"].map(len).to_numpy(np.int64)
     count = size - LENGTH + 1
     row = np.repeat(np.arange(len(group)), count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     start = np.repeat(np.cumsum(size) - size, count) + inner
-    hashed = span_hash(prefix_hash(np.frombuffer(text, np.uint8)), start, start + LENGTH)
+    hashed = span_hash(prefix_hash(np.frombuffer(text, np.uint8)), start, start + LENGTH) ^ mix(run[row].astype(np.uint64) + np.uint64(1))
     doc, sig, at = group["doc"].to_numpy(np.int64)[row], group["sig"].to_numpy(np.int64)[row], group["lo"].to_numpy(np.int64)[row] + inner
     order = np.lexsort((at, sig, doc, hashed))
     h = hashed[order]
@@ -133,7 +153,7 @@ class SuffixIndex:
     def add(self, batch: DataFrame, keep: bool = True) -> DataFrame:
         """``batch``: stored rows of route 0. The scan reads every level; keep=False leaves the batch out of the index."""
         bucket = F.pmod("key", F.lit(self.buckets)).alias("bucket")
-        rows = lambda df, fresh: df.select(bucket, "key", "doc", "sig", "lo", "context", F.lit(fresh).alias("fresh"))
+        rows = lambda df, fresh: df.select(bucket, "doc", "sig", "lo", "left", "context", F.lit(fresh).alias("fresh"))
         every = union_all([rows(batch, True), *[rows(x, False) for _, x in self.levels]])
         found = materialize(every.groupBy("bucket").applyInPandas(_scan, "doc long, sig long, lo long, hi long"), "repeats")
         if keep:
@@ -152,7 +172,7 @@ def _named(docs: DataFrame) -> DataFrame:
     return rows.withColumn("sig", F.xxhash64("text"))
 
 
-def repeated_windows(docs: DataFrame, batches: int = 2) -> DataFrame:
+def repeated_windows(docs: DataFrame, batches: int = 4) -> DataFrame:
     """(doc, sig, lo, hi): runs of starts of LENGTH-byte windows that occur earlier, by (doc_id, hash of the text, start)."""
     spark = docs.sparkSession
     own = _named(docs).select("doc", "sig", "text").where(f"octet_length(text) >= {LENGTH}")
@@ -189,7 +209,7 @@ def _cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_bytes(docs: DataFrame, batches: int = 2) -> DataFrame:
+def repeated_bytes(docs: DataFrame, batches: int = 4) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are their UTF-8 bytes, null is empty; texts of fewer than LENGTH bytes keep all. A null doc_id comes before all others.
