@@ -98,7 +98,7 @@ def _near(text: str, start: int, end: int) -> set[str]:
 def candidates(text: str | None) -> list[tuple[str, int, int, bool, str, str]]:
     """Base spans and possible further ones, each with the votes of the three labelers and a cell of discrete features.
 
-    Votes (P personal, N not, - abstains): regex by the form of the span, gazetteer by the words near it, context by the
+    Votes (P personal, N not, - abstains; ! before those of certain spans): regex by the form of the span, gazetteer by the words near it, context by the
     characters next to it and by certain personal data nearby. The latter two also propose spans (_PROPOSED).
     """
     text = text or ""
@@ -117,8 +117,8 @@ def candidates(text: str | None) -> list[tuple[str, int, int, bool, str, str]]:
     more += [("account", *m.span()) for m in _CARD.finditer(text) if 12 <= m.end() - m.start() <= 40 and 12 <= len(_digits(m[0])) <= 19]
     more += [(kind, *m.span(1)) for kind, marks, pattern in _PROPOSED if any(x in text for x in marks) for m in pattern.finditer(text)]
     # A group of digits is a date's or a number's of its own kind first.
-    dates = {(a, b) for kind, a, b in more if kind in ("birth", "ssn", "iban")}
-    every += [(kind, a, b, False) for kind, a, b in more if free(a, b) and (kind not in ("number", "account") or (a, b) not in dates)]
+    own = {(a, b) for kind, a, b in more if kind in ("birth", "ssn", "iban", "account")}
+    every += [(kind, a, b, False) for kind, a, b in more if free(a, b) and (kind != "number" or (a, b) not in own)]
     out = []
     for kind, a, b, is_base in every:
         s, words = text[a:b], _near(text, a, b)
@@ -130,7 +130,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int, bool, str, str]]:
         company = any(x != a or y != b for x, y in taken[i : i + 4] if x <= b + COMPANY)
         context = "N" if not clean else "P" if company or text[max(0, a - 2) : a].endswith((": ", "= ")) else "-"
         cell = f"{kind}|{min(len(digits), 20) // 3}|{'a' if before.isalnum() else 's' if before.isspace() else 'p'}|{'a' if after.isalnum() else 's' if after.isspace() else 'p'}|{min(len(words & GAZETTEER[kind]), 1)}|{int(company)}"
-        out.append((kind, a, b, is_base, f"{form}{listed}{context}", cell))
+        out.append((kind, a, b, is_base, f"{'!' * is_base}{form}{listed}{context}", cell))
     return out
 
 
@@ -140,23 +140,28 @@ def _found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([candidates(x) for x in part])
 
 
-def reliabilities(patterns: list[tuple[str, int]], rounds: int = 200) -> dict[str, float]:
-    """The probability of personal data for each vote string, by EM over the counts; each labeler has one accuracy."""
+def reliabilities(patterns: list[tuple[str, int]], balance: float = 0.5, rounds: int = 200) -> dict[str, float]:
+    """The probability of personal data for each vote string, by EM over the counts; each labeler has one accuracy.
+
+    A string that begins with ! is of certain spans: they are personal data, and tell how right the labelers are. ``balance`` is the
+    share of the others that are: votes of few labelers that mostly abstain can't tell it beside their accuracies.
+    """
     if not patterns:
         return {}
-    votes = np.array([[{"P": 1, "N": -1, "-": 0}[c] for c in p] for p, _ in patterns])
+    votes = np.array([[{"P": 1, "N": -1, "-": 0}[c] for c in p.removeprefix("!")] for p, _ in patterns])
+    sure = np.array([p.startswith("!") for p, _ in patterns])
     weight = np.array([k for _, k in patterns], float)
-    right, prior, post = np.array([0.9, 0.75, 0.7]), 0.5, np.zeros(len(weight))
+    first = np.array([0.9, 0.75, 0.7])
+    right, post = first, np.zeros(len(weight))
     for _ in range(rounds):
-        odds = np.log(prior / (1 - prior)) + (votes * np.log(right / (1 - right))).sum(1)
-        new = 1 / (1 + np.exp(-odds))
+        odds = np.log(balance / (1 - balance)) + (votes * np.log(right / (1 - right))).sum(1)
+        new = np.where(sure, 1.0, 1 / (1 + np.exp(-odds)))
         done = np.abs(new - post).max() < 1e-9
         post = new
         if done:
             break
-        prior = float(np.clip((weight @ post + 5) / (weight.sum() + 10), 0.01, 0.99))
         agree = weight @ ((votes == 1) * post[:, None] + (votes == -1) * (1 - post)[:, None])
-        right = np.clip((agree + np.array([0.9, 0.75, 0.7]) * 20) / (weight @ (votes != 0) + 20), 0.55, 0.99)
+        right = np.clip((agree + first * 20) / (weight @ (votes != 0) + 20), 0.55, 0.99)
     return {p: float(x) for (p, _), x in zip(patterns, post, strict=True)}
 
 
@@ -199,7 +204,7 @@ def pii_report(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns aren't read): counts of the base kinds, digest, spans, n_added.
 
     A span beside the base ones stays where the classifier gives it ``least`` or more. To the driver go only the counts of vote
-    strings (27 at most) and of feature cells (kind, digits by threes, three kinds of neighbours on each side, gazetteer or
+    strings (54 at most) and of feature cells (kind, digits by threes, three kinds of neighbours on each side, gazetteer or
     not, personal data nearby or not: 3,024 at most), whatever the size of the corpus. Null and empty texts have no spans.
     """
     rows = materialize(docs.select("doc_id", _found("text").alias("found")), "pii")

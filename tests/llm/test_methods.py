@@ -52,7 +52,7 @@ def test_reliabilities_find_who_is_right():
     votes = collections.Counter()
     for t in truth:
         votes["".join("-" if rng.random() < 0.2 else "P" if (rng.random() < r) == t else "N" for r in right)] += 1
-    post = pii.reliabilities(sorted(votes.items()))
+    post = pii.reliabilities(sorted(votes.items()), 0.4)
     exact = {}
     for p in votes:
         odds = math.log(0.4 / 0.6) + sum({"P": 1, "N": -1, "-": 0}[c] * math.log(r / (1 - r)) for c, r in zip(p, right, strict=True))
