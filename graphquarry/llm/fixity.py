@@ -13,20 +13,22 @@ FANOUT = 16
 
 
 def warc_records(pages: DataFrame, per_file: int = 1000) -> DataFrame:
-    """The layout of ``pages`` (page_id, url, html) as WARC response records: file, seq, page_id, url, record (bytes), offset, length.
+    """``pages`` (page_id, url, html) as WARC response records: file, page_id, url, record (bytes), length, record_sha256.
 
-    A file holds the pages of ``per_file`` consecutive ids, in their order; null ids come first, in a file of their own. Null
-    urls and bodies are empty. Repeated pages are records each. Offsets are running sums inside a file.
+    A file holds the pages of ``per_file`` consecutive ids; those without an id are dealt over 1,024 files of negative numbers by their
+    contents. Null urls and bodies are empty. Repeated pages are records each. placed() gives records their places.
     """
     url, body = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    rows = pages.select(F.coalesce(F.expr(f"floor(page_id / {per_file})"), F.lit(-1)).cast("long").alias("file"), "page_id", "url", F.concat(head, body, F.lit("\r\n\r\n")).cast("binary").alias("record"))
-    return placed(rows.withColumn("length", F.octet_length("record").cast("long")))
+    file = F.coalesce(F.expr(f"floor(page_id / {per_file})"), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(1024)))
+    rows = pages.select(file.cast("long").alias("file"), "page_id", "url", F.concat(head, body, F.lit("\r\n\r\n")).cast("binary").alias("record"))
+    return rows.withColumns({"length": F.octet_length("record").cast("long"), "record_sha256": F.sha2("record", 256)})
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """seq and offset of records by page_id (ties by their bytes' digest) inside each file."""
-    by = Window.partitionBy("file").orderBy("page_id", F.sha2("record", 256))
+    """seq and offset of records by page_id (ties by their digest) inside each file. Leave the records out before: only lengths and
+    digests are needed, and bodies would go through the shuffle."""
+    by = Window.partitionBy("file").orderBy("page_id", "record_sha256")
     return rows.withColumn("seq", F.row_number().over(by) - 1).withColumn("offset", F.sum("length").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
 
 
@@ -50,14 +52,37 @@ def read_warc(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, "path string, offset long, length long, record_id string, url string, body binary")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """One text-free binary row per file under ``path`` (Parquet of file and bytes), concatenated in the order of offsets."""
-    whole = records.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "record"))).alias("r"))
-    whole.select("file", F.unhex(F.array_join(F.transform("r", lambda x: F.hex(x["record"])), "")).alias("content")).write.parquet(path)
+def write_warc(records: DataFrame, path: str) -> DataFrame:
+    """Writes one WARC file for each file of ``records`` (file, offset, record) under ``path``, any that pyarrow can open, and returns
+    file, path, length. A file's records go to one task, which writes them one after the other; a repeated task writes the same."""
+
+    def write(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(top)
+        out, at, rows = None, None, []
+        for part in batches:
+            for file, record in zip(part["file"], part["record"], strict=True):
+                if file != at:
+                    if out:
+                        out.close()
+                    at, name = file, f"{top}/{file}.warc"
+                    out = store.open_output_stream(name)
+                    rows.append([file, name, 0])
+                out.write(bytes(record))
+                rows[-1][2] += len(record)
+        if out:
+            out.close()
+        yield pd.DataFrame(rows, columns=["file", "path", "length"])
+
+    ordered = records.select("file", "offset", "record").repartition("file").sortWithinPartitions("file", "offset").select("file", "record")
+    return materialize(ordered.mapInPandas(write, "file long, path string, length long"), "written")
 
 
-def leaf(record: Column, offset: Column) -> Column:
-    return F.sha2(F.concat(F.lit("leaf:").cast("binary"), offset.cast("string").cast("binary"), F.lit(":").cast("binary"), record), 256)
+def leaf(record_sha256: Column, offset: Column) -> Column:
+    return F.sha2(F.concat_ws(":", F.lit("leaf"), offset.cast("string"), record_sha256), 256)
 
 
 def tree(leaves: DataFrame, key: str = "file") -> tuple[list[DataFrame], int]:
@@ -107,11 +132,11 @@ def _lifted(level: DataFrame, n: int, key: str) -> DataFrame:
 
 
 def replica_report(records: DataFrame, replica: DataFrame) -> DataFrame:
-    """One row per record of ``records``: page_id, file, seq, offset, length, record_sha256, intact.
+    """One row per record of ``records`` (file, seq, page_id, offset, length, record_sha256): these and intact.
 
-    ``replica`` has (file, seq, record, offset); what it adds beyond ``records`` is left out here and is in audit().
+    ``replica`` has (file, seq, offset, record_sha256); what it adds beyond ``records`` is left out here and is in audit().
     """
-    leaves = lambda r: r.select("file", "seq", leaf(F.col("record"), F.col("offset")).alias("digest"))
-    mine = materialize(records.select("file", "seq", "page_id", "offset", "length", F.sha2("record", 256).alias("record_sha256"), leaf(F.col("record"), F.col("offset")).alias("digest")), "leaves")
-    bad = audit(mine.select("file", "seq", "digest"), materialize(leaves(replica), "leaves")).where("found <> 'added'")
+    digest = leaf(F.col("record_sha256"), F.col("offset")).alias("digest")
+    mine = materialize(records.select("file", "seq", "page_id", "offset", "length", "record_sha256", digest), "leaves")
+    bad = audit(mine.select("file", "seq", "digest"), materialize(replica.select("file", "seq", digest), "leaves")).where("found <> 'added'")
     return mine.join(bad, ["file", "seq"], "left").select("page_id", "file", F.col("seq").cast("long").alias("seq"), "offset", "length", "record_sha256", F.col("found").isNull().alias("intact"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, fixity, line_dedup, lm_score, mixing, pii, quality, secret_scan
 from . import ngram_join, suffix_dedup
+from .common import materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,8 +57,9 @@ def op10_warc_fixity(spark, sf_dir):
     """
     records = fixity.warc_records(_read(spark, sf_dir, "pages"))
     changed = F.when(F.col("page_id") % 97 == 5, F.overlay("record", F.lit(b"#"), 1)).otherwise(F.col("record"))
-    replica = records.select("file", "seq", changed.alias("record"), "offset").where("page_id % 211 <> 7")
-    return fixity.replica_report(records, replica)
+    placed = materialize(fixity.placed(records.withColumn("found_sha256", F.sha2(changed, 256)).drop("record", "url")), "placed")
+    replica = placed.where("page_id % 211 <> 7").select("file", "seq", "offset", F.col("found_sha256").alias("record_sha256"))
+    return fixity.replica_report(placed, replica)
 
 
 _OP10 = """
