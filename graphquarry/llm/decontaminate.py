@@ -162,7 +162,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 8)
     """One row per row of ``docs`` (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased. Null and empty texts have no
-    words; items without words hit nothing; repeated items count each, repeated documents are each reported; other columns
+    words; items without words hit nothing; an item without an id counts under the empty one; repeated items count each, repeated documents are each reported; other columns
     are ignored. Empty tables give an empty or an all-clean result.
     """
     found = with_hits(docs.select("doc_id", "text"), items, "__h", span, k).drop("text").withColumn("__s", _summed("__h"))
@@ -170,6 +170,12 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 8)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 8) -> DataFrame:
-    """``docs`` without contaminated rows; hit words of the others are cut from their texts. Columns stay; nulls stay."""
-    found = with_hits(docs, items, "__h", span, k).withColumn("__c", _cleaner()(F.col("text").cast("binary"), "__h")).where("not __c.gone")
-    return found.withColumn("text", F.coalesce(F.col("__c.cut").cast("string"), F.col("text"))).select(*docs.columns)
+    """``docs`` without contaminated rows; hit words of the others are cut from their texts, and n_chars, where present, is counted anew.
+
+    Columns stay, whatever their names; nulls stay.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = with_hits(rows, items, "hit", span, k).withColumn("cleaned", _cleaner()(F.col("text").cast("binary"), "hit")).where("not cleaned.gone")
+    found = found.select("row", F.coalesce(F.col("cleaned.cut").cast("string"), F.col("text")).alias("kept"))
+    put = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select(*[put.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -138,9 +138,10 @@ def quality_report(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns. The texts are read twice and never shuffled."""
-    inner = with_metrics(docs.select("text"), "__m").select("__m.votes")
+    """The rows of ``docs`` that pass, with all their columns, whatever their names. The texts are read twice and never shuffled."""
+    inner = with_metrics(docs.select("text"), "m").select("m.votes")
     model = posteriors(sorted((r[0], r[1]) for r in inner.groupBy("votes").count().collect()))
     good = sorted(v for v, p in model.items() if p >= least)
-    failed = F.expr("__m.n_words < 50 or 100 * __m.n_repeat_words > 50 * __m.n_words")
-    return with_metrics(docs, "__m").where(~failed & F.col("__m.votes").isin(good)).select(*[docs[c] for c in docs.columns])
+    failed = F.expr("m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return with_metrics(rows, "m").where(~failed & F.col("m.votes").isin(good)).select("row.*")
