@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +257,32 @@ def test_questions_and_embeddings(spark, code):
     assert search.source_lines(nodes, spark.createDataFrame([("src/bad_Name.py", "def BadName(): pass\n")], "path string, source string")).where("id = 'fn:src/bad_Name.py:BadName'").first()["source"] == "def BadName(): pass"
 
 
+def test_exports(spark, code):
+    nodes, edges = (x.where("id like '%UserStore.ts%'") for x in code)
+    lines = lambda df: [r["line"] for r in df.collect()]
+    assert lines(export.mermaid(nodes, edges))[0] == "graph TD" and any('["Helper"]' in x for x in lines(export.mermaid(nodes, edges)))
+    assert any(x.endswith(": calls") for x in lines(export.d2(nodes, edges))) and "#Helper c=1" in lines(export.compact(nodes))
+    assert '"label":"Helper"' in "".join(lines(export.cytoscape(nodes, edges)))
+    whole = export.graph_json(*code)
+    assert json.loads(whole.first()["line"])["kind"] == "node" and whole.count() == code[0].count() + code[1].count()
+    text = lines(export.mu(nodes, edges))
+    assert text[0].startswith("# ") and any(x.startswith("!module UserStore") for x in text) and any("#get_it" in x for x in text)
+    assert export.select_graph(*code, types=["class"])[0].count() == 3 and export.select_graph(*code, word="helper")[1].count() == 2
+    rows = spark.createDataFrame([(1, 'a"b', None), (2, "c,d", 1.5)], "i int, s string, x double")
+    assert lines(export.csv(rows)) == ["i,s,x", '1,"a""b",', '2,"c,d",1.5'] and lines(export.jsonl(rows))[0] == '{"i":1,"s":"a\\"b"}'
+
+
+def test_storage_of_files(spark, code):
+    nodes, edges = code
+    left, kept = storage.delete_file(nodes, edges, "src/bad_Name.py")
+    assert left.where("file_path = 'src/bad_Name.py'").count() == 0 and kept.where("source_id like '%bad_Name%' or target_id like '%bad_Name%'").count() == 0
+    hashes = spark.createDataFrame([("a", "1"), ("b", "1")], "file_path string, content_hash string")
+    assert [r["file_path"] for r in storage.current_hashes(hashes, hashes.where("file_path = 'b'")).collect()] == ["b"]
+    assert graph.load(nodes, edges.unionByName(edges.limit(1).withColumn("target_id", F.lit("nowhere")))).count() == edges.count()
+    assert {r["kind"] for r in graph.stats(nodes, edges).collect()} == {"node", "edge"} and graph.has_node(nodes, "ext:src") and graph.edge_types(edges).count() == 3
+    assert diff.diff_summary(spark.createDataFrame([("added", False), ("removed", True)], "change string, breaking boolean")).first().asDict() == {"added": 1, "removed": 1, "modified": 0, "breaking": 1}
+
+
 def test_impact(spark, code):
     found = graph.impacted(*code, seed(spark, "fn:src/auth/UserStore.ts:Helper"))
     assert found.count() == 4 and tuple(graph.impact_risk(found).first()) == (2, "low")
@@ -282,3 +310,16 @@ def test_a_path_has_no_limit_of_hops(spark, monkeypatch):
     monkeypatch.setattr(graph, "reach", lambda steps, seeds, most=None, paths=False: asked.append(most) or reach(steps, seeds, most, paths))
     graph.shortest_path(spark.createDataFrame([("a", "b", "imports")], "source_id string, target_id string, type string"), "a", "b")
     assert asked == [None]
+
+
+def test_ingest(spark, tmp_path):
+    from graphquarry.streaming import ingest
+
+    schema = "id string, v int, at int"
+    source = tmp_path / "in"
+    for i, rows in enumerate(([("a", 1, 1), ("b", 1, 1), ("a", 2, 2)], [("a", 3, 3), ("c", 1, 3)], [("b", 9, 4)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / f"{i}"))
+        stream = spark.readStream.schema(schema).parquet(str(source / "*"))
+        ingest.ingest(stream, str(tmp_path / "table"), str(tmp_path / "checkpoint"), ["id"], ["at"], parts=8).awaitTermination()
+    now = ingest.table(spark, str(tmp_path / "table"), spark.createDataFrame([], schema).schema)
+    assert {tuple(r) for r in now.select("id", "v", "at").collect()} == {("a", 3, 3), ("b", 9, 4), ("c", 1, 3)}
