@@ -105,8 +105,8 @@ class Mix:
         # A text is cut into words once; a piece is a range of them with the white space between.
         placed = placed.select("*", F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0)).alias("chunks")).drop("text")
         # explode() would add a filter on the number of pieces, which cuts the text once more.
-        pieces = F.transform(numbers, lambda b: F.struct(*piece(b), F.slice("chunks", (first(b) + 1).cast("int"), (last(b) - first(b)).cast("int")).alias("chunks")))
-        return placed.withColumn("p", F.explode_outer(pieces)).select(*columns, "p.chunks")
+        pieces = F.transform(numbers, lambda b: F.struct(*piece(b), F.array_join(F.slice("chunks", (first(b) + 1).cast("int"), (last(b) - first(b)).cast("int")), "").alias("part")))
+        return placed.withColumn("p", F.explode_outer(pieces)).select(*columns, "p.part")
 
     @property
     def counts(self) -> DataFrame:
@@ -165,12 +165,13 @@ class Mix:
     def blocks(self) -> DataFrame:
         """The mix itself (needs texts=True): shard, slot, source, block, doc_ids, n_words, text. Pieces of several documents stand on
         lines of their own; within a piece white space is as in the document."""
-        packed = self.pieces.select("sidx", "block", F.struct("off", "row", "doc_id", "at", "n", "chunks").alias("p"))
+        packed = self.pieces.select("sidx", "block", F.struct("off", "row", "doc_id", "at", "n", "part").alias("p"))
         packed = packed.groupBy("sidx", "block").agg(F.sort_array(F.collect_list("p")).alias("ps"))
         slot = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(self.seed), "sidx", "draw"), "sidx", "draw")) - 1
         placed = self.draws.withColumn("slot", slot)
         named = placed.join(packed, ["sidx", "block"]).join(F.broadcast(self.sources.select("sidx", "source")), "sidx")
-        cut = lambda p: F.slice(p["chunks"], F.lit(1), F.least(p["n"], F.col("words") - p["at"]).cast("int"))
+        # Only a source's last draw takes a part of a piece.
+        cut = lambda p: F.when(p["n"] <= F.col("words") - p["at"], p["part"]).otherwise(F.array_join(F.slice(F.regexp_extract_all(p["part"], F.lit(CHUNK), F.lit(0)), F.lit(1), (F.col("words") - p["at"]).cast("int")), ""))
         taken = named.withColumn("ps", F.filter("ps", lambda p: p["at"] < F.col("words")))
         n_words = F.aggregate("ps", F.lit(0).cast("long"), lambda a, p: a + F.least(p["n"], F.col("words") - p["at"]))
-        return taken.select("shard", "slot", "source", "block", F.col("ps.doc_id").alias("doc_ids"), n_words.alias("n_words"), F.array_join(F.transform("ps", lambda p: F.array_join(cut(p), "")), "\n").alias("text"))
+        return taken.select("shard", "slot", "source", "block", F.col("ps.doc_id").alias("doc_ids"), n_words.alias("n_words"), F.array_join(F.transform("ps", cut), "\n").alias("text"))
