@@ -78,7 +78,7 @@ def semantic_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     # Parts of what is there on one side only are left out.
     single = gone.where("entity_type = 'module'").unionByName(gone.where("entity_type <> 'module'").join(common, "scope", "left_semi").select(*gone.columns))
     no, off = F.lit(None).cast("string"), F.lit(False)
-    lone = single.select("path", "entity_type", "parent", "name", "scope", F.when(F.col("a").isNull(), "added").otherwise("removed").alias("change"), F.col("b").isNull() & (F.col("entity_type") != "import"), F.col("a.signature"), F.col("b.signature"), F.when(F.col("a").isNull() & F.col("entity_type").isin("module", "class", "parameter"), F.col("b.note")))
+    lone = single.select("path", "entity_type", "parent", "name", "scope", F.when(F.col("a").isNull(), "added").otherwise("removed").alias("change"), F.col("b").isNull(), F.col("a.signature"), F.col("b.signature"), F.when(F.col("a").isNull() & F.col("entity_type").isin("module", "class", "parameter"), F.col("b.note")))
     lone = lone.toDF("path", "entity_type", "parent", "name", "scope", "change", "breaking", "old_signature", "new_signature", "details")
     pairs = both.where("a is not null and b is not null")
     differs = lambda c: ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))

@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphquarry.functions import text
-from graphquarry.operators import checks, diff, embeddings, export, graph, overview, resolve, rules, search, semantic_diff, storage
+from graphquarry.functions import reducer, text
+from graphquarry.operators import checks, diff, embeddings, export, graph, history, overview, resolve, rules, search, semantic_diff, storage
 from graphquarry.plans import terse
 from graphquarry.sources import build, files, parsers
 
@@ -176,12 +176,12 @@ def test_semantic_diff(spark):
     assert got == {
         ("a.py", "attribute", "A", "w"): ("added", False, None), ("a.py", "attribute", "A", "z"): ("removed", True, None), ("a.py", "class", None, "A"): ("modified", True, "+bases: Y; -bases: X"),
         ("a.py", "function", None, "f"): ("modified", True, "return: none -> int, 1 param changes"), ("a.py", "function", None, "g"): ("removed", True, None), ("a.py", "function", None, "h"): ("added", False, None),
-        ("a.py", "import", None, "os"): ("removed", False, None), ("a.py", "import", None, "sys"): ("added", False, None), ("a.py", "method", "A", "gone"): ("removed", True, None), ("a.py", "method", "A", "m"): ("modified", False, "2 param changes"),
+        ("a.py", "import", None, "os"): ("removed", True, None), ("a.py", "import", None, "sys"): ("added", False, None), ("a.py", "method", "A", "gone"): ("removed", True, None), ("a.py", "method", "A", "m"): ("modified", False, "2 param changes"),
         ("a.py", "method", "A", "new"): ("added", False, None), ("a.py", "module", None, "a"): ("modified", False, "14 entity changes"), ("a.py", "parameter", "A.m", "a"): ("modified", True, "type: int -> str, default: 1 -> 2"),
         ("a.py", "parameter", "A.m", "b"): ("added", False, "default: 3"), ("a.py", "parameter", "f", "y"): ("removed", True, None), ("b.py", "module", None, "b"): ("removed", True, None), ("c.py", "module", None, "c"): ("added", False, "1 functions, 0 classes"),
     }
     counters = semantic_diff.summary(changes).first().asDict()
-    assert len(counters) == 18 and counters["breaking_changes"] == 8 and counters["parameters_modified"] == 1
+    assert len(counters) == 18 and counters["breaking_changes"] == 9 and counters["parameters_modified"] == 1
     assert semantic_diff.summary_text(semantic_diff.summary(changes)).first()["text"].startswith("modules: 1 added, 1 removed, 1 modified; functions: ")
     assert semantic_diff.semantic_diff(base, base).count() == 0
     assert {(r["path"], r["kind"], r["change"]) for r in semantic_diff.named_diff(base, head, ["b.py"]).where("kind = 'file'").collect()} == {("b.py", "file", "removed")}
@@ -283,6 +283,28 @@ def test_storage_of_files(spark, code):
     assert diff.diff_summary(spark.createDataFrame([("added", False), ("removed", True)], "change string, breaking boolean")).first().asDict() == {"added": 1, "removed": 1, "modified": 0, "breaking": 1}
 
 
+def test_history(spark):
+    rows = [("h3", "ann", "2026-01-03", "Fix crash, closes #12 (PR 7)", "a.py"), ("h3", "ann", "2026-01-03", "Fix crash, closes #12 (PR 7)", "b.py"), ("h2", "bob", "2026-01-02", "refactor things", "a.py"), ("h1", "ann", "2026-01-01", "add a", "a.py"), ("h0", "cy", "2025-12-31", "add c", "c.py")]
+    commits = spark.createDataFrame(rows, "hash string, author string, date string, subject string, file string")
+    assert [(r["hash"], r["change"]) for r in history.file_history(commits, "a.py").collect()] == [("h3", "modified"), ("h2", "modified"), ("h1", "added")]
+    assert [tuple(r) for r in history.cochanged(commits, "a.py").collect()] == [("b.py", 1)]
+    assert tuple(history.references(commits, "a.py").first()) == (["#12"], ["7"])
+    about = history.about_file(commits, "a.py").first()
+    assert (about["commits"], about["contributors"], about["primary_author"], about["origin"], about["evolution"]) == (3, ["ann", "bob"], "ann", "h1", "1 features, 1 fixes, 1 refactors")
+    assert {(r["category"], r["n"]) for r in history.categories(commits).collect()} == {("features", 2), ("fixes", 1), ("refactors", 1)}
+
+
+def test_reducer(spark):
+    parsed = build.parse(spark.createDataFrame([("a.py", "import typing.io\nimport os\nclass A:\n  def __repr__(self): pass\n  def run(self, x): pass\n")], "path string, source string"))
+    m = parsed.select(reducer.reduced(F.col("m")).alias("m")).first()["m"]
+    assert [i["module"] for i in m["imports"]] == ["os"] and [f["name"] for f in m["classes"][0]["methods"]] == ["run"] and [p["name"] for p in m["classes"][0]["methods"][0]["parameters"]] == ["x"]
+    places = spark.createDataFrame([("ab\ncdé\nf", 0), ("ab\ncdé\nf", 5), ("ab\ncdé\nf", 7)], "s string, at int").select(reducer.line_and_column(F.col("s"), F.col("at")).alias("p")).collect()
+    assert [tuple(r["p"]) for r in places] == [(1, 1), (2, 3), (3, 1)]
+    edits = spark.createDataFrame([("a", 1, 0, 3, "def"), ("a", 2, 4, 4, "x"), ("b", 1, 9, 2, "no")], "path string, ord int, start int, stop int, put string")
+    found = reducer.edited(spark.createDataFrame([("a", "abc g"), ("b", "keep"), ("c", "same")], "path string, source string"), edits).collect()
+    assert {r["path"]: (r["source"], r["failed"]) for r in found} == {"a": ("def xg", 0), "b": ("keep", 1), "c": ("same", 0)}
+
+
 def test_impact(spark, code):
     found = graph.impacted(*code, seed(spark, "fn:src/auth/UserStore.ts:Helper"))
     assert found.count() == 4 and tuple(graph.impact_risk(found).first()) == (2, "low")
