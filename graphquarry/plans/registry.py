@@ -150,9 +150,27 @@ def keyword_rank(spark, sf_dir):
     return search.keyword_rank(_graph(spark, sf_dir)[0], ["brand", "12"])
 
 
-@named()
+_COUNTED = {
+    "fns": "type = 'function'", "classes": "type = 'class'", "modules": "type = 'module'", "snake": "type = 'function' and name like '%\\_%' escape '\\' and lower(name) = name", "pascal": "type = 'class' and regexp_matches(name, '^[A-Z]')",
+    "service": "type = 'class' and name like '%Service'", "tests": "type = 'function' and lower(name) like '%test%'", "logs": "type = 'function' and lower(name) like '%log%'", "repository": "type = 'class' and (name like '%Repository' or name like '%Repo')",
+    "factory": "type in ('class', 'function') and name like '%Factory%'", "handler": "type in ('class', 'function') and name like '%Handler%'", "errors": "type = 'class' and (name like '%Error' or name like '%Exception')",
+    "rest": "type = 'function' and regexp_matches(name, '^(get|post|put|delete|create|update).')", "routes": "type = 'function' and regexp_matches(name, '._?(route|endpoint|view)$')", "asyncs": "type = 'function' and (regexp_matches(name, '^async.') or regexp_matches(name, '.async$'))",
+}
+# Names of a fixture in which every detector fires, in turn; LIKE patterns of the detectors have _ for any character.
+_PARTS = ("UserRepository", "OrderRepo", "WidgetFactory", "makeHandler", "onHandler", "get_user", "post_item", "put_x", "a_route", "b_endpoint", "async_load", "load_async", "test_one", "log_it", "ParseError", "IoException", "PayService", "plain")
+_FIXTURE = f"select case when p_partkey % 3 = 0 then 'class' when p_partkey % 3 = 1 then 'function' else 'module' end as type, list_value({', '.join(f"'{x}'" for x in _PARTS)})[p_partkey % {len(_PARTS)} + 1] as name, concat('src/', {_S('p_partkey % 50')}, case when p_partkey % 4 = 0 then '.test.py' else '.py' end) as file_path from part"
+_ROWS = (("service_suffix", "service", "case when service >= 2 then 0.8 else 0.0 end"), ("modular", "modules", "case when modules >= 5 then round(least(modules / 20.0, 1.0), 6) else 0.0 end"), ("test_functions", "tests", "case when tests >= 3 then 0.95 else 0.0 end"), ("logging", "logs", "case when logs >= 1 then 0.85 else 0.0 end"), ("repository", "repository", "case when repository >= 1 then 0.9 else 0.0 end"), ("factory", "factory", "case when factory >= 1 then 0.85 else 0.0 end"), ("handler", "handler", "case when handler >= 2 then 0.8 else 0.0 end"), ("test_files", "files", "case when files >= 1 then 0.9 else 0.0 end"), ("custom_exceptions", "errors", "case when errors >= 2 then 0.9 else 0.0 end"), ("rest_naming", "rest", "case when rest >= 3 then 0.85 else 0.0 end"), ("route_handlers", "routes", "case when routes >= 2 then 0.9 else 0.0 end"), ("async_naming", "asyncs", "case when asyncs >= 2 then 0.8 else 0.0 end"), ("snake_case_functions", "snake", "round(snake / greatest(fns, 1.0), 6)"), ("pascal_case_classes", "pascal", "round(pascal / greatest(classes, 1.0), 6)"), ("minimal_imports", "imports", "case when imports / (modules + 0.0) < 5 then round(1 - imports / (modules + 0.0) / 10, 6) else 0.0 end"), ("heavy_imports", "imports", "case when imports / (modules + 0.0) > 15 then round(least(imports / (modules + 0.0) / 30, 1.0), 6) else 0.0 end"))
+
+
+@named(f"with n as ({_FIXTURE}), c as (select {', '.join(f'count(*) filter ({x}) as {k}' for k, x in _COUNTED.items())}, count(distinct file_path) filter (file_path like '%test%' or file_path like '%spec%') as files, (select count(*) from supplier) as imports from n) " + " union all ".join(f"select '{name}' as pattern, {n} as hits, cast({sure} as double) as confidence from c" for name, n, sure in _ROWS))
 def detected_patterns(spark, sf_dir):
-    return rules.patterns(*_graph(spark, sf_dir))
+    _views(spark, sf_dir, "part")
+    name = F.element_at(F.array(*map(F.lit, _PARTS)), (F.col("p_partkey") % len(_PARTS) + 1).cast("int"))
+    kind = F.when(F.col("p_partkey") % 3 == 0, "class").when(F.col("p_partkey") % 3 == 1, "function").otherwise("module")
+    path = F.concat(F.lit("src/"), F.col("p_partkey") % 50, F.when(F.col("p_partkey") % 4 == 0, ".test.py").otherwise(".py"))
+    nodes = spark.table("part").select(kind.alias("type"), name.alias("name"), path.alias("file_path"))
+    imports = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lit("imports").alias("type"))
+    return rules.patterns(nodes, imports)
 
 
 @named(f"{_WITH}, d as (select id, count(*) as degree from (select source_id as id from edges union all select target_id from edges) q group by id) select id, round(least(complexity / 10.0, 5.0) + least(coalesce(degree, 0) / 5.0, 5.0) + case type when 'class' then 2.0 when 'module' then 1.0 when 'function' then 0.5 else 0.0 end, 6) as score from nodes left join d using (id)")
