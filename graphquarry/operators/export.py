@@ -58,7 +58,7 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return row(nodes, "node", F.col("id"), 1).unionByName(row(edges, "edge", F.concat_ws("|", "source_id", "type", "target_id"), 2)).orderBy("part", "ord")
 
 
-def mu(nodes: DataFrame, edges: DataFrame, title: str = "graph") -> DataFrame:
+def module_text(nodes: DataFrame, edges: DataFrame, title: str = "graph") -> DataFrame:
     """Text by module: a heading, the module, its classes with their bases, its functions with their complexity and how often they are called."""
     calls = edges.where("type = 'calls'").groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("calls"))
     bases = edges.where("type = 'inherits'").groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_set(F.regexp_extract("target_id", r"([^:]*)$", 1))).alias("bases"))

@@ -27,7 +27,7 @@ COMPARED = {"python": "py", "typescript": "ts tsx", "javascript": "js jsx", "go"
 # Languages that a scan keeps.
 SUPPORTED = ("python", "typescript", "tsx", "javascript", "jsx", "csharp", "go", "rust", "java", "yaml", "json", "toml", "markdown")
 # What is always ignored.
-IGNORED = (".git/", ".mu/", "node_modules/", "__pycache__/", "*.pyc", ".venv/", "venv/", "target/", "archive/")
+IGNORED = (".git/", "node_modules/", "__pycache__/", "*.pyc", ".venv/", "venv/", "target/", "archive/")
 
 
 def _by_extension(table: dict[str, str]) -> Column:
@@ -61,7 +61,7 @@ def ignore_pattern(rules: list[str]) -> str:
 def rules_of(root: str, *names: str) -> list[str]:
     """Rules of the ignore files at a root that the driver can read."""
     found = []
-    for name in names or (".gitignore", ".muignore"):
+    for name in names or (".gitignore", ".scanignore"):
         if os.path.isfile(path := os.path.join(root, name)):
             with open(path, encoding="utf-8", errors="replace") as f:
                 found += f.read().splitlines()

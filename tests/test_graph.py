@@ -83,7 +83,7 @@ def test_source_graph(spark):
 
 
 @pytest.mark.parametrize(("module", "path", "want"), [
-    ("os", "src/main.py", "ext:os"), ("mu.core", "src/main.py", "mod:mu/core"), (".utils", "a/b/c.py", "mod:a/b/utils.py"), ("..utils", "a/b/c.py", "mod:a/utils.py"), ("...x.y", "a/b/c.py", "mod:x/y.py"), (".", "a/b/c.py", "mod:a/b"),
+    ("os", "src/main.py", "ext:os"), ("pkg.core", "src/main.py", "mod:pkg/core"), (".utils", "a/b/c.py", "mod:a/b/utils.py"), ("..utils", "a/b/c.py", "mod:a/utils.py"), ("...x.y", "a/b/c.py", "mod:x/y.py"), (".", "a/b/c.py", "mod:a/b"),
     ("./foo", "a/b/c.ts", "mod:a/b/foo/index.ts"), ("../foo/bar", "a/b/c.ts", "mod:a/foo/bar/index.ts"), ("./foo.ts", "a/c.ts", "mod:a/foo.ts"), ("react", "a/c.ts", "ext:react"),
 ])
 def test_imports(spark, module, path, want):
@@ -265,7 +265,7 @@ def test_exports(spark, code):
     assert '"label":"Helper"' in "".join(lines(export.cytoscape(nodes, edges)))
     whole = export.graph_json(*code)
     assert json.loads(whole.first()["line"])["kind"] == "node" and whole.count() == code[0].count() + code[1].count()
-    text = lines(export.mu(nodes, edges))
+    text = lines(export.module_text(nodes, edges))
     assert text[0].startswith("# ") and any(x.startswith("!module UserStore") for x in text) and any("#get_it" in x for x in text)
     assert export.select_graph(*code, types=["class"])[0].count() == 3 and export.select_graph(*code, word="helper")[1].count() == 2
     rows = spark.createDataFrame([(1, 'a"b', None), (2, "c,d", 1.5)], "i int, s string, x double")
