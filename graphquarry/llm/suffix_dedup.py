@@ -112,8 +112,8 @@ def suffix_runs(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
         return group, np.empty(0, np.int64)
     suffix = [c[n:] for c, n in zip(group["context"], group["left"], strict=True)]
     order = np.array(sorted(range(len(suffix)), key=suffix.__getitem__))
-    head = [suffix[i][:K] for i in order]
-    run = np.cumsum([0, *[x != y for x, y in zip(head, head[1:], strict=False)]])
+    run = np.cumsum([0, *[suffix[x][:K] != suffix[y][:K] for x, y in zip(order, order[1:], strict=False)]])
+    del suffix
     fresh = group["fresh"].to_numpy(bool)[order]
     size, new = np.bincount(run), np.bincount(run, weights=fresh)
     wanted = (size[run] > 1) & (new[run] > 0)
@@ -141,6 +141,8 @@ def _scan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     doc, sig, at = doc[order], sig[order], at[order]
     later = ((doc != doc[lead]) | (sig != sig[lead]) | (at != at[lead])) & group["fresh"].to_numpy(bool)[row][order]
     d, s, a, b = _runs(doc[later], sig[later], at[later])
+    if key[0] % 16 == 0:
+        trim()
     return pd.DataFrame({"doc": d, "sig": s, "lo": a, "hi": b})
 
 
@@ -172,7 +174,7 @@ def _named(docs: DataFrame) -> DataFrame:
     return rows.withColumn("sig", F.xxhash64("text"))
 
 
-def repeated_windows(docs: DataFrame, batches: int = 4) -> DataFrame:
+def repeated_windows(docs: DataFrame, batches: int = 3) -> DataFrame:
     """(doc, sig, lo, hi): runs of starts of LENGTH-byte windows that occur earlier, by (doc_id, hash of the text, start)."""
     spark = docs.sparkSession
     own = _named(docs).select("doc", "sig", "text").where(f"octet_length(text) >= {LENGTH}")
@@ -180,7 +182,7 @@ def repeated_windows(docs: DataFrame, batches: int = 4) -> DataFrame:
     rows = materialize(own.mapInPandas(_extractor(shared), _LEVEL), "suffixes")
     shared.destroy()  # the suffixes are stored
     total = rows.where("route = 0").agg(F.count(F.lit(1)), F.min("doc"), F.max("doc")).first()
-    index = SuffixIndex(max(n_parts(spark) * 4, total[0] // 2000 + 1))
+    index = SuffixIndex(max(n_parts(spark) * 4, total[0] // 1000 + 1))
     found, low, high = [], total[1] or 0, total[2] or 0
     edges = [low + (high - low + 1) * b // batches for b in range(batches + 1)]
     for b in range(batches if total[0] else 0):
@@ -209,7 +211,7 @@ def _cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_bytes(docs: DataFrame, batches: int = 4) -> DataFrame:
+def repeated_bytes(docs: DataFrame, batches: int = 3) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are their UTF-8 bytes, null is empty; texts of fewer than LENGTH bytes keep all. A null doc_id comes before all others.
