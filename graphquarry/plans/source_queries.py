@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import naming
 from ..operators import checks, embeddings, graph, overview, resolve, rules, search, semantic_diff
 from ..sources import build, files, parsers
+from . import terse
 from .registry import _S, _graph, _seed, _views, _WITH, _SEED, named
 
 # --- files made from parts: a module of a class and a function each, which import, inherit and call the next ones -----------
@@ -157,6 +158,17 @@ def graph_stats(spark, sf_dir):
     return graph.stats(*_graph(spark, sf_dir))
 
 
+@named("select 'fn:pkg/p1.py:self_f1' as id, 1 as depth union all select 'mod:pkg/p' || (7 % n) || '.py', 1 from (select count(*) as n from part) q union all select 'ext:os', 1")
+def deps_with_module(spark, sf_dir):
+    nodes, edges = build.graph(_files(spark, sf_dir))
+    return graph.deps(edges, spark.createDataFrame([("fn:pkg/p1.py:f1",)], "id string"), nodes=nodes).select("id", "depth")
+
+
+@named(f"{_WITH}, t as (select id from nodes where id like 'fn:part/1:%') select n.id, n.name, 1 as depth from edges e join t on e.target_id = t.id join nodes n on n.id = e.source_id where e.type = 'calls' and n.id <> t.id order by n.name, n.id limit 100")
+def verb_callers(spark, sf_dir):
+    return terse.verb(*_graph(spark, sf_dir), "callers fn:part/1:").select("id", "name", "depth")
+
+
 _TESTED = f"select concat('fn', {_K}) as id, 'function' as type, concat('f', {_S('p_partkey % 100')}) as name, concat('src/a', {_K}, '.py') as file_path from part union all select concat('t', {_K}), 'function', concat('test_f', {_S('p_partkey % 37')}), concat('test/a', {_K}, '.py') from part where p_partkey % 5 = 0"
 
 
