@@ -169,6 +169,28 @@ def verb_callers(spark, sf_dir):
     return terse.verb(*_graph(spark, sf_dir), "callers fn:part/1:").select("id", "name", "depth")
 
 
+_JSON = f"""select p_partkey as k, concat('{{"a": {{"b": "', p_brand, '"}}, "attributes": ["x", "owner_id", "', case when p_partkey % 3 = 0 then 'paid' else 'note' end, '"]}}') as j from part"""
+
+
+@named(f"select k, json_extract_string(j, '$.a.b') as brand, cast(json_array_length(j, '$.attributes') as int) as n_attributes, cast(1 + case when json_extract_string(j, '$.attributes[2]') like '%id' then 1 else 0 end as int) as n_keys from ({_JSON}) q")
+def json_properties(spark, sf_dir):
+    _views(spark, sf_dir, "part")
+    j = F.col("j")
+    return spark.sql(_JSON).select("k", F.get_json_object(j, "$.a.b").alias("brand"), F.size(overview.attributes(j)).alias("n_attributes"), overview.foreign_keys(j).alias("n_keys"))
+
+
+@named(f"{_WITH} select id, name from nodes where name GLOB '[A-Z]*' and type::TEXT = 'class' and complexity::TEXT = '0'")
+def shim_glob(spark, sf_dir):
+    terse.register(*_graph(spark, sf_dir))
+    return terse.query(spark, "select id, name from nodes where name GLOB '[A-Z]*' and type = 'Class' and complexity::TEXT = '0'")
+
+
+@named(f"{_WITH}, a as (select source_id as id, list_sort(list(target_id)) as t from edges where type = 'contains' group by 1) select id, len(t) as n, list_contains(t, 'x') as has_x, t[1] as first from a")
+def list_functions(spark, sf_dir):
+    terse.register(*_graph(spark, sf_dir))
+    return terse.query(spark, "with a as (select source_id as id, sort_array(collect_list(target_id)) as t from edges where type = 'contains' group by 1) select id, cast(size(t) as bigint) as n, list_contains(t, 'x') as has_x, t[0] as first from a")
+
+
 _TESTED = f"select concat('fn', {_K}) as id, 'function' as type, concat('f', {_S('p_partkey % 100')}) as name, concat('src/a', {_K}, '.py') as file_path from part union all select concat('t', {_K}), 'function', concat('test_f', {_S('p_partkey % 37')}), concat('test/a', {_K}, '.py') from part where p_partkey % 5 = 0"
 
 
