@@ -108,6 +108,9 @@ def suffix_runs(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
     """The sampled suffixes of a bucket as a suffix array: in the order of their bytes from the sampled place on, and for each the number
     of the run of neighbours whose longest common prefix is K bytes or more. Suffixes alone in their run, and runs without a new one,
     are left out."""
+    # A run's suffixes have one fingerprint: those whose fingerprint is alone, or no new one has, needn't be sorted.
+    _, same, count = np.unique(group["key"].to_numpy(np.int64), return_inverse=True, return_counts=True)
+    group = group[(count[same] > 1) & (np.bincount(same, weights=group["fresh"].to_numpy(bool))[same] > 0)]
     if not len(group):
         return group, np.empty(0, np.int64)
     suffix = [c[n:] for c, n in zip(group["context"], group["left"], strict=True)]
@@ -155,16 +158,14 @@ class SuffixIndex:
     def add(self, batch: DataFrame, keep: bool = True) -> DataFrame:
         """``batch``: stored rows of route 0. The scan reads every level; keep=False leaves the batch out of the index."""
         bucket = F.pmod("key", F.lit(self.buckets)).alias("bucket")
-        rows = lambda df, fresh: df.select(bucket, "doc", "sig", "lo", "left", "context", F.lit(fresh).alias("fresh"))
+        rows = lambda df, fresh: df.select(bucket, "key", "doc", "sig", "lo", "left", "context", F.lit(fresh).alias("fresh"))
         every = union_all([rows(batch, True), *[rows(x, False) for _, x in self.levels]])
         found = materialize(every.groupBy("bucket").applyInPandas(_scan, "doc long, sig long, lo long, hi long"), "repeats")
         if keep:
             self.levels.append((1, batch))
             while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
                 (n, a), (_, b) = self.levels.pop(), self.levels.pop()
-                # Of equal contexts only the earliest can matter to later batches.
-                both = a.unionByName(b).groupBy("key", "left", "context").agg(F.min(F.struct("doc", "sig", "lo", "hi")).alias("first"), F.first("route").alias("route"))
-                self.levels.append((2 * n, materialize(both.select("route", "key", "first.*", "left", "context"), "level")))
+                self.levels.append((2 * n, materialize(a.unionByName(b), "level")))
         return found
 
 
@@ -182,7 +183,7 @@ def repeated_windows(docs: DataFrame, batches: int = 3) -> DataFrame:
     rows = materialize(own.mapInPandas(_extractor(shared), _LEVEL), "suffixes")
     shared.destroy()  # the suffixes are stored
     total = rows.where("route = 0").agg(F.count(F.lit(1)), F.min("doc"), F.max("doc")).first()
-    index = SuffixIndex(max(n_parts(spark) * 4, total[0] // 1000 + 1))
+    index = SuffixIndex(max(n_parts(spark) * 4, total[0] // 2000 + 1))
     found, low, high = [], total[1] or 0, total[2] or 0
     edges = [low + (high - low + 1) * b // batches for b in range(batches + 1)]
     for b in range(batches if total[0] else 0):
