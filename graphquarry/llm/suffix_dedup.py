@@ -185,7 +185,8 @@ def repeated_windows(docs: DataFrame, batches: int = 3) -> DataFrame:
     total = rows.where("route = 0").agg(F.count(F.lit(1)), F.min("doc"), F.max("doc")).first()
     index = SuffixIndex(max(n_parts(spark) * 4, total[0] // 2000 + 1))
     found, low, high = [], total[1] or 0, total[2] or 0
-    edges = [low + (high - low + 1) * b // batches for b in range(batches + 1)]
+    # Batches double from the second on, as levels do: half of the documents meet the index once.
+    edges = [low, *[low + (high - low + 1) * 2**b // 2 ** (batches - 1) for b in range(batches)]]
     for b in range(batches if total[0] else 0):
         inside = (F.col("route") == 0) & (F.col("doc") >= edges[b]) & (F.col("doc") < edges[b + 1])
         found.append(index.add(rows.where(inside), keep=b < batches - 1))
