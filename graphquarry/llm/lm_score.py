@@ -4,8 +4,9 @@ log-probabilities scores a document.
 The vocabulary is counted over the whole corpus. Frequent words are classes of their own, all others fall into classes by their
 hash. Every position of every document is counted into (left class, right class, middle class) cells, a table bounded by the
 classes, and the network is trained on all cells by their counts. A word's probability is its class's, given both neighbours, times
-its own share of its class. The counts of all words go to the workers as a table of a byte for each slot of the hash space, eight
-steps a doubling, that grows with the vocabulary (four slots a word, up to 2**SLOTS).
+its own share of its class. The most frequent words go to the workers with their exact counts; the others of a document are joined with
+the vocabulary, so that every word has its exact count. A table of a byte for each slot of the hash space, eight steps a doubling, that
+grows with the vocabulary (four slots a word, up to 2**SLOTS) tells which words come once and need no join.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from .common import materialize, mix, trim, words_hashed
 
 #: Classes: one beyond the text's ends, OWN words of their own, the rest by hash.
 CLASSES, OWN = 64, 40
-#: The table of counts has 2**12 to 2**26 slots. Beyond 16 million words some share a slot, whose count is then the sum of theirs.
+#: The table of counts has 2**12 to 2**26 slots. Words may share a slot, whose count is then the sum of theirs: they are joined.
 SLOTS = 12, 26
+#: So many words at most, the most frequent, go to the workers with their counts.
+FREQUENT = 1 << 20
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -137,29 +140,47 @@ def log_counts(raw: bytes, words: np.ndarray) -> np.ndarray:
     return np.maximum(code - 1, 0) * np.float32(np.log(2) / 8)
 
 
+def least_count(words: DataFrame) -> int:
+    """The smallest count from which on there are FREQUENT words at most."""
+    least, held = None, 0
+    for n, times in sorted(words.groupBy("n").count().collect(), reverse=True):
+        held += times
+        if held > FREQUENT:
+            return n + 1
+        least = n
+    return least or 1
+
+
 def _scorer(shared):
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, log_p, total, table = shared.value
-        classes = Classes(own)
+        own, log_p, total, frequent, logs, table = shared.value
+        classes, frequent, logs = Classes(own), np.frombuffer(frequent, np.uint64), np.frombuffer(logs, np.float64)
         for part in texts:
             out = []
             for raw in part:
                 words = words_hashed(raw or b"")
                 cls = classes.of(words)
                 # A class of one word is the word; in others a word has its own share.
-                share = np.where(cls <= OWN, 0.0, np.minimum(0.0, log_counts(table, words) - total[cls]))
-                out.append((len(cls), float(log_p[_cells(cls)].astype(np.float64).sum() + share.sum()) if len(cls) else 0.0))
-            yield pd.DataFrame(out, columns=["n_tokens", "log_prob"])
+                plain = cls > OWN
+                rest, share = words[plain], -total[cls[plain]].sum()
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, rest), len(frequent) - 1)
+                    same = frequent[at] == rest
+                    share, rest = share + logs[at[same]].sum(), rest[~same]
+                rest = rest[log_counts(table, rest) > 0] if table else rest[:0]
+                out.append((len(cls), float(log_p[_cells(cls)].astype(np.float64).sum() + share) if len(cls) else 0.0, rest.view(np.int64)))
+            yield pd.DataFrame(out, columns=["n_tokens", "log_prob", "rest"])
             trim()
 
-    return F.pandas_udf(score, "struct<n_tokens:bigint,log_prob:double>")
+    return F.pandas_udf(score, "struct<n_tokens:bigint,log_prob:double,rest:array<bigint>>")
 
 
 def pseudo_likelihood(docs: DataFrame, seed: int = 5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_tokens, log_prob (summed), per_token (log_prob / n_tokens; null without words).
 
     Null and empty texts have no tokens and a sum of 0. Repeated rows count each and are each scored. To the driver go the
-    OWN most frequent words, each class's total, the CLASSES**3 cells at most, and the table of counts, 2**SLOTS[1] bytes at most.
+    FREQUENT most frequent words, how many words have each count, each class's total, the CLASSES**3 cells at most, and the table of
+    counts, 2**SLOTS[1] bytes at most. How large these are changes what is joined, not the scores.
     """
     spark = docs.sparkSession
     words = materialize(vocabulary(docs), "words")
@@ -177,6 +198,18 @@ def pseudo_likelihood(docs: DataFrame, seed: int = 5) -> DataFrame:
     total = np.zeros(CLASSES)
     for r in words.mapInPandas(class_of, "cls long, n double").groupBy("cls").agg(F.sum("n").alias("n")).collect():
         total[r["cls"]] = np.log(r["n"])
-    model = spark.sparkContext.broadcast((own, Network(counts, seed=seed).log_p, total, count_table(words)))
-    scored = docs.select("doc_id", _scorer(model)(F.col("text").cast("binary")).alias("s"))
-    return scored.select("doc_id", "s.n_tokens", F.round("s.log_prob", 4).alias("log_prob"), F.round(F.when(F.col("s.n_tokens") > 0, F.col("s.log_prob") / F.col("s.n_tokens")), 6).alias("per_token"))
+    least = least_count(words)
+    top = words.where(F.col("n") >= least).select("word", "n").toArrow()
+    word = top["word"].to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    # Where no other word comes twice, none has to be joined.
+    table = count_table(words) if least > 2 else b""
+    model = spark.sparkContext.broadcast((own, Network(counts, seed=seed).log_p, total, word[order].tobytes(), np.log(top["n"].to_numpy()[order]).tobytes(), table))
+    scored = docs.select("doc_id", _scorer(model)(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.*")
+    if table:
+        scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        others = words.where((F.col("n") < least) & (F.col("n") > 1))
+        # Sums of whole numbers don't depend on the order of rows.
+        more = scored.select("row", F.explode("rest").alias("word")).join(others, "word").groupBy("row").agg(F.sum(F.round(F.log("n") * 1e10).cast("long")).alias("more"))
+        scored = scored.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0)) / 1e10)
+    return scored.select("doc_id", "n_tokens", F.round("log_prob", 4).alias("log_prob"), F.round(F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")), 6).alias("per_token"))

@@ -92,6 +92,27 @@ def test_counts_of_words(spark):
     assert found[1002]["per_token"] is None and found[1003]["log_prob"] == 0 and found[0]["n_tokens"] == 6
 
 
+@pytest.mark.parametrize("frequent", [1 << 20, 20])
+def test_words_that_share_a_slot_keep_their_counts(spark, monkeypatch, frequent):
+    """Scores of texts that differ in one word differ by the logarithms of its exact counts, however small the tables are."""
+    monkeypatch.setattr(lm_score, "SLOTS", (3, 3))
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent, raising=False)
+    count = {f"own{i}": 300 for i in range(40)} | {f"rest{i}": 1 + i % 19 for i in range(200)}
+    rows = [(i, w) for i, w in enumerate(w for w, n in count.items() for _ in range(n - 1))]
+    ids = {w: len(rows) + i for i, w in enumerate(count)}
+    docs = spark.createDataFrame([*rows, *((i, f"own1 {w} own2") for w, i in ids.items())], "doc_id long, text string")
+    own = [r["word"] for r in lm_score.vocabulary(docs).orderBy("n", ascending=False).limit(40).collect()]
+    seen = collections.Counter(w for _, x in rows for w in x.split()) + collections.Counter(w for x in ids for w in ("own1", x, "own2"))
+    found = {r["doc_id"]: r["log_prob"] for r in lm_score.pseudo_likelihood(docs).collect()}
+    by_class = collections.defaultdict(list)
+    for w in ids:
+        by_class[int(lm_score.Classes(own).of(words_hashed(w.encode()))[0])].append(w)
+    pairs = [(a, b) for c, (a, *others) in by_class.items() if c > 40 for b in others]
+    assert len(pairs) > 100
+    for a, b in pairs:
+        assert abs(found[ids[a]] - found[ids[b]] - math.log(seen[a] / seen[b])) < 0.001, (a, b)
+
+
 def test_probabilities_of_middle_words_sum_to_one():
     counts = np.random.default_rng(1).integers(0, 5, lm_score.CLASSES**3)
     p = np.exp(lm_score.Network(counts, steps=3).log_p.reshape(-1, lm_score.CLASSES).astype(float))
