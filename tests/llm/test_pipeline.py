@@ -76,3 +76,11 @@ def test_run(spark, rows, tmp_path, monkeypatch):
     for places in groups(rows):
         there = any(rows[k][1][:60] in text for k in places)
         assert there == (leak not in {rows[k][1] for k in places})
+
+
+def test_line_dedup_drops_lines_with_letters_changed_in_many_words(spark):
+    """The stage removes a line above 120 characters that differs by a letter in three of ten words."""
+    words = [w for c in "abcdefghijklmnopqrst" for w in (f"word{c}", f"q{c}")]
+    one, other = " ".join(words), " ".join("z" + w[1:] if i % 2 and i < 24 else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, one), (2, f"{other}\nand a last line")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()} == {1: one, 2: "and a last line"}
