@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CODES, materialize, vectorized
+from .common import SPACE_CODES, materialize, small_batches, trim, vectorized
 
 #: The rules in the order of a vote string: B bad, G good, - abstains.
 RULES = ("symbols", "upper", "exclaims", "repeats", "dup_lines", "variety", "word_length", "prose", "function_words")
@@ -79,10 +79,12 @@ def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = [x.split(":")[0] for x in METRICS[7:-1].split(",")]
     for part in texts:
         yield pd.DataFrame([measure(x) for x in part], columns=names)
+        trim()
 
 
 def with_metrics(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
     """``docs`` and a struct column ``into`` of the metrics and the votes of each row."""
+    small_batches(docs.sparkSession)  # keep_good() measures before anything is stored
     return docs.withColumn(into, _measured(F.col(text).cast("binary")))
 
 

@@ -84,3 +84,15 @@ def test_line_dedup_drops_lines_with_letters_changed_in_many_words(spark):
     one, other = " ".join(words), " ".join("z" + w[1:] if i % 2 and i < 24 else w for i, w in enumerate(words))
     docs = spark.createDataFrame([(1, one), (2, f"{other}\nand a last line")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()} == {1: one, 2: "and a last line"}
+
+
+def test_quality_goes_to_python_in_small_batches(spark):
+    """The first stage doesn't send Spark's ten thousand texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        corpus_pipeline.quality_rules(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "")
+        assert int(spark.conf.get(key)) == 1000
+    finally:
+        spark.conf.set(key, was)
