@@ -21,6 +21,8 @@ from .common import components, gram_hashes, if_small, materialize, mix, trim, w
 SLOTS = 16, 25
 #: Frequencies are counted on so many leading bits of a hash.
 _BITS = np.uint64(42)
+#: Hashes that a worker gathers before it counts them, which takes several arrays of their size.
+HELD = 500_000
 
 
 def shingles(raw: bytes | None, k: int = 5) -> np.ndarray:
@@ -42,18 +44,8 @@ def _short(tokens: np.ndarray) -> np.ndarray:
     return tokens >> np.uint64(64 - int(_BITS))
 
 
-def frequency_table(docs: DataFrame, tokens_of) -> bytes:
-    """A byte for each leading-bits slot of the hash space: 0 where no hash of ``tokens_of`` comes twice or more over the texts of
-    ``docs``, else the code of the highest count there (8 a doubling).
-
-    Counting is exact and covers every hash: each task counts its own and emits, for each bucket of the hash space, one row of packed
-    arrays, so a frequent hash makes no bucket larger, and there are as many buckets as keep each small. What is rounded is the table:
-    a slot that several hashes share tells of a hash more than its own count. Who uses it must be right with any table; a
-    corpus beyond its size only gets more work, not other results. The driver reads it a partition at a time.
-    """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(min(16, max(7, np.ceil(np.log2(size / 6 / 500_000 + 1)))))
-    width = int(min(SLOTS[1], max(SLOTS[0], np.ceil(np.log2(size / 12 + 1)))))
+def _counting(tokens_of, bits: int, width: int):
+    """The two functions of frequency_table() that workers run; both give back the memory that they have used."""
     low = int(_BITS) - bits
 
     def packed(tokens: list[np.ndarray]) -> pd.DataFrame:
@@ -73,12 +65,14 @@ def frequency_table(docs: DataFrame, tokens_of) -> bytes:
             for raw in part["text"]:
                 held.append(_short(tokens_of(raw)))
                 total += len(held[-1])
-                if total > 1_000_000:
+                if total > HELD:
                     yield packed(held)
                     held, total = [], 0
             trim()
         if total:
             yield packed(held)
+        held.clear()
+        trim()
 
     def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         parts, counts = [], []
@@ -91,8 +85,26 @@ def frequency_table(docs: DataFrame, tokens_of) -> bytes:
         often = n >= 2
         slots = np.zeros(1 << (width - bits), np.uint8)
         np.maximum.at(slots, (token[often] >> np.uint64(low - (width - bits))).astype(np.int64), code_of(n[often]))
+        del parts, counts, token, at, n, often
+        trim()
         return pd.DataFrame({"bucket": [int(key[0])], "slots": [zlib.compress(slots.tobytes(), 1)]})
 
+    return count, merge
+
+
+def frequency_table(docs: DataFrame, tokens_of) -> bytes:
+    """A byte for each leading-bits slot of the hash space: 0 where no hash of ``tokens_of`` comes twice or more over the texts of
+    ``docs``, else the code of the highest count there (8 a doubling).
+
+    Counting is exact and covers every hash: each task counts its own and emits, for each bucket of the hash space, one row of packed
+    arrays, so a frequent hash makes no bucket larger, and there are as many buckets as keep each small. What is rounded is the table:
+    a slot that several hashes share tells of a hash more than its own count. Who uses it must be right with any table; a
+    corpus beyond its size only gets more work, not other results. The driver reads it a partition at a time.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(min(16, max(7, np.ceil(np.log2(size / 6 / 500_000 + 1)))))
+    width = int(min(SLOTS[1], max(SLOTS[0], np.ceil(np.log2(size / 12 + 1)))))
+    count, merge = _counting(tokens_of, bits, width)
     rows = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(count, "bucket int, n int, tokens binary, counts binary")
     table = np.zeros(1 << width, np.uint8)
     for r in materialize(rows.groupBy("bucket").applyInPandas(merge, "bucket int, slots binary"), "frequencies").toLocalIterator():
@@ -156,7 +168,9 @@ def _linked(percent: int):
             both = int((y[at] == x).sum())
             return 100 * both >= percent * (len(x) + len(y) - both)
 
-        return pd.Series([check(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+        found = pd.Series([check(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+        trim()
+        return found
 
     return linked
 

@@ -156,3 +156,22 @@ def test_very_long_texts(spark, report):
     long = " ".join(f"wort{i % 3001}" for i in range(200_000))
     docs = spark.createDataFrame([(1, "a", long), (2, "b", "x" * 500_000), (3, "b", "1" * 300_000)], "doc_id long, source string, text string")
     assert report(docs).count() == 3
+
+
+def test_workers_of_the_join_give_back_memory(spark, monkeypatch):
+    """What a worker has used to count, merge or compare is given back at the end, as Spark keeps it for the next stage."""
+    import numpy as np
+    import pandas as pd
+
+    from graphquarry.llm import ngram_join
+
+    calls = []
+    monkeypatch.setattr(ngram_join, "trim", lambda: calls.append(1))
+    count, merge = ngram_join._counting(lambda raw: ngram_join.shingles(raw, 2), 7, 16)
+    parts = list(count(iter([pd.DataFrame({"text": [b"a b c d", b"a b c e"]})])))
+    assert len(calls) == 2
+    rows = pd.concat(parts)
+    found = [merge((b,), part) for b, part in rows.groupby("bucket")]
+    assert len(calls) == 2 + len(found) and len(found) == len(set(rows["bucket"]))
+    sets = pd.Series([np.arange(8, dtype=np.uint64).tobytes()])
+    assert list(ngram_join._linked(75).func(sets, sets)) == [True] and len(calls) == 3 + len(found)
