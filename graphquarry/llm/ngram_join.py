@@ -1,5 +1,6 @@
 """N-gram Jaccard join by grouped prefixes: sets with one size and prefix form a group, only groups are joined on prefix shingles,
-then group pairs are expanded to their members and verified on whole sets.
+then group pairs are expanded to their members and verified on whole sets. Before a pair is made, marks of both (MARKS parities of
+counts of shingles) must allow a link: sets that differ in d shingles differ in d marks at most, so that no link is lost.
 
 Shingles are ordered by (code of document frequency, hash). Any one order makes prefix filtering exact; this one keeps
 boilerplate out of the prefixes, so lists of documents that share a prefix shingle stay short.
@@ -21,6 +22,10 @@ from .common import components, gram_hashes, if_small, materialize, mix, trim, w
 SLOTS = 16, 25
 #: Frequencies are counted on so many leading bits of a hash.
 _BITS = np.uint64(42)
+#: A set's marks tell for each slot of a hash of so many whether an odd number of its shingles falls there, 64 to a long. In sets of
+#: thousands of shingles most differences cancel out, so that they rule out less.
+MARKS = 1024
+_LONGS = range(MARKS // 64)
 #: Hashes that a worker gathers before it counts them, which takes several arrays of their size.
 HELD = 500_000
 
@@ -122,6 +127,21 @@ def looked_up(raw: bytes, tokens: np.ndarray) -> np.ndarray:
     return table[(tokens >> np.uint64(64 - int(len(table)).bit_length() + 1)).astype(np.int64)]
 
 
+def _marks(own: np.ndarray) -> np.ndarray:
+    """The marks of a set of hashes; none of an empty one."""
+    if not len(own):
+        return np.empty(0, np.int64)
+    odd = np.bincount((own & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def _may_link(percent: int, sizes: str, a: str, b: str, blurs: tuple[str, ...] = ()) -> str:
+    """Whether marks (columns a0, a1 .. and b0, b1 ..) allow a link of sets of ``sizes`` shingles together: those that only one of two
+    linked sets has are (100 - percent) / (100 + percent) of that at most. Marks that are set in columns of ``blurs`` don't tell."""
+    but = lambda i: f" & ~({' | '.join(f'{x}{i}' for x in blurs)})" if blurs else ""
+    return f"{100 + percent} * ({' + '.join(f'bit_count(({a}{i} ^ {b}{i}){but(i)})' for i in _LONGS)}) <= {100 - percent} * ({sizes})"
+
+
 def _described(shared, percent: int, k: int):
     def describe(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table = shared.value
@@ -136,12 +156,12 @@ def _described(shared, percent: int, k: int):
                 first = own[np.lexsort((own, order))[: _prefix_length(n, percent) if linkable else 0]].view(np.int64)
                 whole = mix(own + np.uint64(1))
                 cls = int(mix(np.array([whole.sum() ^ np.uint64(n)], np.uint64)).view(np.int64)[0]) if n else 0
-                out.append((n, alone, cls, first))
-            yield pd.DataFrame(out, columns=["n", "alone", "cls", "prefix"])
+                out.append((n, alone, cls, first, _marks(own if len(first) else own[:0])))
+            yield pd.DataFrame(out, columns=["n", "alone", "cls", "prefix", "marks"])
             del out
             trim()
 
-    return F.pandas_udf(describe, "struct<n:bigint,alone:bigint,cls:bigint,prefix:array<bigint>>")
+    return F.pandas_udf(describe, "struct<n:bigint,alone:bigint,cls:bigint,prefix:array<bigint>,marks:array<bigint>>")
 
 
 def _setter(k: int):
@@ -200,6 +220,14 @@ class Join:
         prefix = self.rows.join(few, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
         return prefix.select(F.col("cls").alias("gid"), "n", (F.col("n") - F.col("alone")).alias("u"), F.explode("prefix").alias("token"))
 
+    def _marked(self, classes: DataFrame) -> DataFrame:
+        """``classes`` (cls, doc, ..) with the marks m0, m1 .. of their sets."""
+        classes = materialize(classes, "unmarked")
+        few = if_small(classes, 1_000_000).select(F.col("cls").alias("c"), F.col("doc").alias("d"))
+        rows = self.rows.join(few, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+        marks = rows.select("cls", *[F.get("marks", F.lit(i)).alias(f"m{i}") for i in _LONGS]).dropDuplicates(["cls"])
+        return materialize(classes.join(marks, "cls"), "marked")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of classes that are linked. The documents are read again for the sets of the classes met."""
         pairs = materialize(pairs, "pairs")
@@ -224,20 +252,26 @@ class Join:
         inside = self.classes.where("cls <> gid").select(F.least("cls", "gid").alias("a"), F.greatest("cls", "gid").alias("b"))
         first = to("low").unionByName(to("any")).unionByName(inside).distinct()
         done = self._verified(first)
-        # Then every pair of a list or a group whose ends no link connects yet.
+        # Then every pair of a list or a group whose ends no link connects yet and whose marks allow one.
         label = components(done, "a", "b").withColumnsRenamed({"node": "cls"})
         known = materialize(self.classes.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "known")
-        members = known.where("gid is not null").select("cls", "gid", "component")
-        many = known.where("gid is not null").groupBy("gid").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
+        grouped = known.where("gid is not null")
+        many = grouped.groupBy("gid").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
         spread = shared.select("token", "gid", "n", "u").join(many, "gid")
         mixed = spread.groupBy("token").agg(F.min("c1").alias("lo"), F.max("c2").alias("hi")).where("lo <> hi").select("token")
         rest = materialize(spread.join(mixed, "token").select("token", "gid", "n", "u", "c1", "c2"), "mixed")
-        other = rest.select("token", F.col("gid").alias("g2"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("c1").alias("d1"), F.col("c2").alias("d2"))
-        pairs = rest.join(other, "token").where(f"gid < g2 and not (c1 = d1 and c2 = d2 and c1 = c2) and {close}").select("gid", "g2").distinct()
+        met = rest.select("gid").unionByName(many.where("c1 <> c2").select("gid")).distinct()
+        members = self._marked(grouped.join(met, "gid", "left_semi").select("cls", "doc", "gid", "n", "component"))
+        # A group's marks (s) are those of its members where they agree; its blurs (x) are where they don't.
+        each = [*[F.bit_and(f"m{i}").alias(f"s{i}") for i in _LONGS], *[F.expr(f"bit_and(m{i}) ^ bit_or(m{i})").alias(f"x{i}") for i in _LONGS]]
+        rest = rest.join(materialize(members.groupBy("gid").agg(*each), "marks"), "gid")
+        named = {"gid": "g2", "n": "m", "u": "v", "c1": "d1", "c2": "d2", **{f"s{i}": f"t{i}" for i in _LONGS}, **{f"x{i}": f"y{i}" for i in _LONGS}}
+        near = _may_link(self.percent, "n + m", "s", "t", ("x", "y"))
+        pairs = rest.join(rest.withColumnsRenamed(named), "token").where(f"gid < g2 and not (c1 = d1 and c2 = d2 and c1 = c2) and {close} and {near}").select("gid", "g2").distinct()
         own = many.where("c1 <> c2").select("gid", F.col("gid").alias("g2"))
-        left = members.select(F.col("cls").alias("a"), F.col("gid"), F.col("component").alias("ca"))
-        right = members.select(F.col("cls").alias("b"), F.col("gid").alias("g2"), F.col("component").alias("cb"))
-        expanded = pairs.unionByName(own).join(left, "gid").join(right, "g2").where("ca <> cb and a <> b")
+        left = members.withColumnsRenamed({"cls": "a", "component": "ca"}).drop("doc")
+        right = members.withColumnsRenamed({"cls": "b", "gid": "g2", "n": "m", "component": "cb", **{f"m{i}": f"w{i}" for i in _LONGS}}).drop("doc")
+        expanded = pairs.unionByName(own).join(left, "gid").join(right, "g2").where(f"ca <> cb and a <> b and {_may_link(self.percent, 'n + m', 'm', 'w')}")
         more = self._verified(expanded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         return done.unionByName(more)
 

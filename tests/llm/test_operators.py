@@ -69,6 +69,31 @@ def test_jaccard(docs, texts):
     assert got == want
 
 
+def test_jaccard_of_near_misses(spark, monkeypatch):
+    """Documents of one passage and three blocks of words, of which two share one at most, are just too far apart: few are compared."""
+    rng, compared = random.Random(5), []
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage, blocks = words(120), [[words(15) for _ in range(7)] for _ in range(3)]
+    rows = [f"{passage} {blocks[0][i]} {blocks[1][j]} {blocks[2][(i + j) % 7]}" for i in range(7) for j in range(7)]
+    rows += [f"{x} {words(1 + i)}" for i, x in enumerate(rows[:12])]
+
+    def kept(df, name="t", write=ngram_join.materialize):
+        out = write(df, name)
+        if name == "pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.linked_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    sets = [{tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in rows]
+    low = list(range(len(rows)))
+    for _ in rows:
+        for a, x in enumerate(sets):
+            low[a] = min([low[a], *(low[b] for b, y in enumerate(sets) if 100 * len(x & y) >= 75 * len(x | y))])
+    assert found == dict(enumerate(low)) and len(set(low)) == 49
+    assert compared[-1] <= len(rows)
+
+
 def test_suffixes(docs, texts):
     unique = {i: t for i, t in texts if i is not None}
     seen, want = set(), {}
