@@ -29,8 +29,9 @@ def oriented(edges: DataFrame, direction: str, types: list[str] | None = None, e
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
-#: Searches of at most so many hops read the edges as they are; deeper ones store the steps, which every hop reads, once.
-SHALLOW = 3
+#: Searches of at most so many hops read the edges as they are; deeper ones store the steps, which every hop reads, once: edges may be
+#: made by large joins, which each hop would make again.
+SHALLOW = 1
 
 
 def reach(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, paths: bool = False) -> DataFrame:

@@ -372,3 +372,20 @@ def test_python_is_walked_in_the_order_of_ast_walk():
     walked = [x for x in ast.walk(tree) if x._fields]
     assert parsers._below([tree]) == walked
     assert [parsers._text(x) for x in walked if isinstance(x, ast.expr)] == [ast.unparse(x) for x in walked if isinstance(x, ast.expr)]
+
+
+def test_edges_are_made_distinct_by_their_keys(spark, tmp_path):
+    from graphquarry.plans import registry
+
+    part = [(k, f"name {k % 3}", "B", f"T{k % 2}", 1, 1.0) for k in range(6)] + [(1, "name 1", "B", "T1", 1, 1.0), (1, "other", "C", None, 1, 1.0)]
+    lines = [(o, (o * 5 + n) % 7, (o + n * n) % 4, n) for o in range(30) for n in range(1, 5)] + [(99, 1, None, 1), (99, None, 2, 2), (99, 2, 2, 3)]
+    kind = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").createOrReplaceTempView("lineitem")
+    for rows in (part, [*part, (6, None, "B", "T", 1, 1.0), (3, "n", None, "T", 1, 1.0)]):
+        spark.createDataFrame(rows, kind).createOrReplaceTempView("part")
+        found = registry._edges(spark)
+        assert sorted(map(str, found.collect())) == sorted(map(str, spark.sql(registry.EDGES).collect()))
+    spark.createDataFrame(part, kind).createOrReplaceTempView("part")
+    # Of the aggregates over lines none groups by ids.
+    plan = registry._edges(spark).where("type = 'calls'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [source_id" not in plan and "Aggregate [p1" in plan
