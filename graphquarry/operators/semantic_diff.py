@@ -59,6 +59,14 @@ def entities(modules: DataFrame) -> DataFrame:
     return out.groupBy(*by).agg(F.max_by(F.struct(*[x for x in _COLUMNS if x not in by]), "at").alias("v")).select(*by, "v.*")
 
 
+def changed_files(base: DataFrame, head: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files (path, source) of both sides whose paths don't have the same sources in both, as often: only these can have changes, as
+    all keys hold the path, so that the others, which are compared as they are, needn't be parsed."""
+    signed = base.select("path", "source", F.lit(1).alias("n")).unionByName(head.select("path", "source", F.lit(-1).alias("n")))
+    paths = stored(signed.groupBy("path", "source").agg(F.sum("n").alias("n")).where("n <> 0").select("path").distinct())
+    return base.join(paths, "path", "left_semi"), head.join(paths, "path", "left_semi")
+
+
 def semantic_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     """The changes from modules (path, m) of ``base`` to those of ``head``.
 

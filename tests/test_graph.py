@@ -389,3 +389,13 @@ def test_edges_are_made_distinct_by_their_keys(spark, tmp_path):
     # Of the aggregates over lines none groups by ids.
     plan = registry._edges(spark).where("type = 'calls'")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [source_id" not in plan and "Aggregate [p1" in plan
+
+
+def test_only_files_that_differ_are_parsed_for_a_diff(spark):
+    files_of = lambda rows: spark.createDataFrame(rows, "path string, source string")
+    base = files_of([("a.py", "def f(): pass\n"), ("b.py", "def g(): pass\n"), ("c.py", "x = 1\n"), ("d.py", None), ("e.py", "def h(): pass\n"), ("e.py", "def h(): pass\n")])
+    head = files_of([("a.py", "def f(): pass\n"), ("b.py", "def g(x): pass\n"), ("n.py", "y = 1\n"), ("d.py", None), ("e.py", "def h(): pass\n")])
+    found = semantic_diff.changed_files(base, head)
+    assert [sorted({r["path"] for r in x.collect()}) for x in found] == [["b.py", "c.py", "e.py"], ["b.py", "e.py", "n.py"]]
+    whole = semantic_diff.semantic_diff(build.parse(base), build.parse(head))
+    assert sorted(map(str, semantic_diff.semantic_diff(*map(build.parse, found)).collect())) == sorted(map(str, whole.collect()))
